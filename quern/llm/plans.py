@@ -82,12 +82,12 @@ QUERIES = {
     "p7_packed": p7_packed, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_statistics": p9_statistics, "p9_counts": p9_counts,
 }
 
-_USABLE = "u AS (SELECT path, min(CAST(embedding AS DOUBLE[])) AS v FROM files WHERE path IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0 GROUP BY path)"
+_USABLE = "u AS (SELECT path, min(CAST(embedding AS DOUBLE[])) AS v FROM files WHERE path IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY path)"
 _SHINGLES = """
 d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 e AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM evalitems WHERE text IS NOT NULL),
-dg AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), i -> array_to_string(w[i:i+11], ' '))) AS g FROM d),
-eg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), i -> array_to_string(w[i:i+11], ' '))) AS g FROM e)
+dg AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM d),
+eg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, greatest(len(w) - 10, 1)), lambda i: array_to_string(w[i:i+11], ' '))) AS g FROM e)
 """
 
 SQL = {
@@ -98,11 +98,11 @@ SELECT DISTINCT least(path, other) AS path_a, greatest(path, other) AS path_b FR
     "p6_found": " UNION ".join(f"SELECT '{table}' AS item_table, {key} AS item_key FROM {table} WHERE {key} IS NOT NULL AND length(content) > 6000" for table, key in (("files", "path"), ("specs", "spec_id"), ("docnodes", "path"))),
     "p8_found": f"WITH {_SHINGLES} SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
     "p9_counts": """WITH k AS (SELECT DISTINCT lower(word) AS word FROM commonwords),
-t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w, list_filter(list_transform(string_split(text, chr(10)), s -> regexp_replace(s, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g')), s -> s <> '') AS l FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g')), lambda s: s <> '') AS l FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM t) x JOIN k USING (word) GROUP BY doc_id)
 SELECT t.doc_id, CAST(len(w) AS INTEGER) AS words, round(CASE WHEN len(w) > 0 THEN length(array_to_string(w, '')) / len(w) ELSE 0 END, 6) AS mean_word_length,
  round(CASE WHEN length(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) > 0 THEN length(regexp_replace(text, '[\\p{L}\\p{N} \\t\\r\\n]', '', 'g')) / length(regexp_replace(text, '[ \\t\\r\\n]', '', 'g')) ELSE 0 END, 6) AS symbol_ratio,
- CAST(len(l) AS INTEGER) AS lines, round(CASE WHEN len(l) > 0 THEN len(list_filter(l, s -> regexp_matches(s, '[.!?…]$'))) / len(l) ELSE 0 END, 6) AS punctuated_lines,
+ CAST(len(l) AS INTEGER) AS lines, round(CASE WHEN len(l) > 0 THEN len(list_filter(l, lambda s: regexp_matches(s, '[.!?…]$'))) / len(l) ELSE 0 END, 6) AS punctuated_lines,
  round(CASE WHEN len(w) > 0 THEN coalesce(c.n, 0) / len(w) ELSE 0 END, 6) AS common_words
 FROM t LEFT JOIN c ON c.doc_id = t.doc_id""",
 }

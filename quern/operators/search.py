@@ -57,7 +57,7 @@ def bm25(rows: DataFrame, text: Column, query: str, stems: bool = False) -> Data
         words, wanted = stemmed(words), list(dict.fromkeys(map(stem, wanted)))
     if not wanted:
         return rows.withColumn("bm25", F.lit(0.0))
-    tf = [F.size(F.filter("_w", lambda w, t=t: w == t)).alias(f"_t{k}") for k, t in enumerate(wanted)]
+    tf = [F.size(F.filter("_w", _equals(t))).alias(f"_t{k}") for k, t in enumerate(wanted)]
     counted = rows.withColumn("_w", words).select("*", *tf, F.size("_w").alias("_n")).drop("_w")
     corpus = counted.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_avg"), *[F.sum(F.when(F.col(f"_t{k}") > 0, 1).otherwise(0)).alias(f"_d{k}") for k in range(len(wanted))])
     score = F.lit(0.0)
@@ -68,6 +68,10 @@ def bm25(rows: DataFrame, text: Column, query: str, stems: bool = False) -> Data
     return joined.withColumn("bm25", score).drop("_n", "_docs", "_avg", *[f"_{c}{k}" for k in range(len(wanted)) for c in "td"])
 
 
+def _equals(word: str):
+    return lambda w: w == word
+
+
 def _plain(token: str) -> list[str]:
     return re.findall(r"[^\W_]+", token)
 
@@ -112,10 +116,15 @@ def symbol_snippets(found: DataFrame, files: DataFrame, context: int = 2) -> Dat
 
 def occurrences(table: DataFrame, key: str, text: str, needle: str, reach: int = 60) -> DataFrame:
     """Every place (overlaps too, case ignored) of a needle: key, position from 0, line, snippet; and its weight 1 + 1/(1 + position/length)."""
-    folded = F.lower(F.coalesce(text, F.lit("")))
+    if not needle:
+        raise ValueError("an empty needle is everywhere")
+    # cut before every occurrence, overlapping ones too: the lengths of the parts add up to the places
+    folded = F.lower(F.coalesce(F.col(text), F.lit("")))
+    parts = F.split(folded, "(?=" + re.escape(needle.lower()) + ")")
+    state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+    found = F.aggregate(parts, state, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(p.startswith(needle.lower()), F.concat(s["places"], F.array(s["at"]))).otherwise(s["places"]).alias("places")))
+    hit = table.where(folded.contains(needle.lower())).select(F.col(key), F.col(text).alias("_text"), F.explode(found["places"]).alias("position"))
     size = len(needle)
-    ends = F.filter(F.sequence(F.lit(0), F.greatest(F.length(folded) - size, F.lit(0))), lambda i: F.substring(folded, i + 1, F.lit(size)) == needle.lower())
-    hit = table.where(folded.contains(needle.lower()) & F.lit(size > 0)).select(F.col(key), F.col(text).alias("_text"), F.explode(ends).alias("position"))
     before = F.substring("_text", F.lit(1), F.col("position"))
     return hit.select(key, "position", (F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1).alias("line"), F.substring("_text", F.greatest(F.col("position") - reach, F.lit(0)) + 1, F.lit(size + reach) + F.least("position", F.lit(reach))).alias("snippet"), (1 + 1 / (1 + F.col("position") / F.length("_text"))).alias("weight"))
 

@@ -246,7 +246,7 @@ SQL = {
 } | {
     "a21_repeated_keys": "SELECT path, count(*) AS rows FROM files GROUP BY path HAVING count(*) > 1",
     "w06_last_file_row": "SELECT path, max(indexed_at) AS indexed_at FROM files WHERE indexed_at IS NOT NULL GROUP BY path",
-    "w01_change_state": """WITH l AS (SELECT user_id AS change, event_id AS seq, ts AS at, CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'signed-off' WHEN 'error' THEN 'invalidated' ELSE 'transitioned' END AS type, CASE event_type WHEN 'view' THEN 'implementing' WHEN 'click' THEN 'verifying' END AS st FROM events),
-k AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY at, seq) AS n FROM l)
-SELECT change, coalesce(arg_max(st, n) FILTER (type = 'transitioned'), 'drafting') AS state, false AS drafted, false AS approved, coalesce(max(n) FILTER (type = 'signed-off') > coalesce(max(n) FILTER (type = 'invalidated'), 0), false) AS signed_off, min(at) FILTER (st = 'implementing') AS implementing_at, arg_max(at, n) FILTER (type = 'invalidated') AS invalidated_at, count(*) AS events FROM k GROUP BY change""",
+    "w01_change_state": """WITH l AS (SELECT user_id AS change, event_id AS seq, ts AS "at", CASE event_type WHEN 'signup' THEN 'created' WHEN 'purchase' THEN 'signed-off' WHEN 'error' THEN 'invalidated' ELSE 'transitioned' END AS type, CASE event_type WHEN 'view' THEN 'implementing' WHEN 'click' THEN 'verifying' END AS st FROM events),
+k AS (SELECT *, row_number() OVER (PARTITION BY change ORDER BY "at", seq) AS n FROM l)
+SELECT change, coalesce(arg_max(st, n) FILTER (type = 'transitioned'), 'drafting') AS state, false AS drafted, false AS approved, coalesce(max(n) FILTER (type = 'signed-off') > coalesce(max(n) FILTER (type = 'invalidated'), 0), false) AS signed_off, min("at") FILTER (st = 'implementing') AS implementing_at, arg_max("at", n) FILTER (type = 'invalidated') AS invalidated_at, count(*) AS events FROM k GROUP BY change""",
 }

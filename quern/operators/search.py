@@ -122,7 +122,7 @@ def occurrences(table: DataFrame, key: str, text: str, needle: str, reach: int =
     folded = F.lower(F.coalesce(F.col(text), F.lit("")))
     parts = F.split(folded, "(?=" + re.escape(needle.lower()) + ")")
     state = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
-    found = F.aggregate(parts, state, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when(p.startswith(needle.lower()), F.concat(s["places"], F.array(s["at"]))).otherwise(s["places"]).alias("places")))
+    found = F.aggregate(parts, state, lambda s, p: F.struct((s["at"] + F.length(p)).alias("at"), F.when((s["at"] > 0) | folded.startswith(needle.lower()), F.concat(s["places"], F.array(s["at"]))).otherwise(s["places"]).alias("places")))
     hit = table.where(folded.contains(needle.lower())).select(F.col(key), F.col(text).alias("_text"), F.explode(found["places"]).alias("position"))
     size = len(needle)
     before = F.substring("_text", F.lit(1), F.col("position"))

@@ -31,7 +31,7 @@ _TS = [
     ("method", re.compile(rf"^[ \t]+(?:(?:public|private|protected|static|async|override|readonly|get|set)\s+)*(?!(?:if|for|while|switch|catch|return|function|throw|new|else|do)\b)({_ID})\s*(?:<[^>\n]*>)?\([^)\n]*\)\s*(?::\s*[^{{;\n]+)?\{{", re.M)),
 ]
 _GO = [("function", re.compile(r"^func\s+([A-Za-z_]\w*)\s*[\[(]", re.M)), ("method", re.compile(r"^func\s+\([^)]*\)\s*([A-Za-z_]\w*)\s*\(", re.M)), ("interface", re.compile(r"^type\s+([A-Za-z_]\w*)\s+interface\b", re.M)), ("class", re.compile(r"^type\s+([A-Za-z_]\w*)\s+struct\b", re.M)), ("type", re.compile(r"^type\s+([A-Za-z_]\w*)\s+(?!struct\b|interface\b)", re.M)), ("variable", re.compile(r"^(?:const|var)\s+([A-Za-z_]\w*)", re.M))]
-_PHP = [("class", re.compile(r"^[ \t]*(?:(?:final|abstract|readonly)\s+)*class\s+(\w+)", re.M)), ("interface", re.compile(r"^[ \t]*interface\s+(\w+)", re.M)), ("class", re.compile(r"^[ \t]*trait\s+(\w+)", re.M)), ("enum", re.compile(r"^[ \t]*enum\s+(\w+)", re.M)), ("method", re.compile(r"^[ \t]+(?:(?:public|private|protected|static|final|abstract)\s+)+function\s+&?(\w+)", re.M)), ("function", re.compile(r"^[ \t]*function\s+&?(\w+)", re.M)), ("variable", re.compile(r"^const\s+(\w+)\s*=", re.M))]
+_PHP = [("class", re.compile(r"^[ \t]*(?:(?:final|abstract|readonly)\s+)*class\s+(\w+)", re.M)), ("interface", re.compile(r"^[ \t]*interface\s+(\w+)", re.M)), ("class", re.compile(r"^[ \t]*trait\s+(\w+)", re.M)), ("enum", re.compile(r"^[ \t]*enum\s+(\w+)", re.M)), ("method", re.compile(r"(?:^|[{};])\s*(?:(?:public|private|protected|static|final|abstract)\s+)+function\s+&?(\w+)", re.M)), ("function", re.compile(r"(?:^|[{};])[ \t]*function\s+&?(\w+)", re.M)), ("variable", re.compile(r"^const\s+(\w+)\s*=", re.M))]
 _RULES = {"typescript": _TS, "tsx": _TS, "javascript": _TS, "jsx": _TS, "go": _GO, "php": _PHP}
 _TS_IMPORT = re.compile(rf"^[ \t]*import\s+(type\s+)?(?:({_ID})\s*,?\s*)?(?:\*\s*as\s+({_ID})\s*)?(?:\{{([^}}]*)\}}\s*)?(?:from\s*)?['\"]([^'\"\n]+)['\"]|\brequire\(\s*['\"]([^'\"\n]+)['\"]\s*\)|\bimport\(\s*['\"]([^'\"\n]+)['\"]\s*\)", re.M)
 _CALL = re.compile(rf"\bnew\s+({_ID})\s*(?:<[^>\n]*>)?\(|\b({_ID})\s*(?:\?\.|\.|->|::)\s*({_ID})\s*\(|(?<![\w$.>:])({_ID})\s*\(")

@@ -93,8 +93,8 @@ class Shard:
 
 def matches(shard: Shard, items: np.ndarray, item_starts: np.ndarray, least: int = LEAST):
     """Maximal common runs of at least ``least`` (12 or more) words: (document, item, place in each, length)."""
-    ends = np.append(item_starts[1:], len(items)) - 1  # each item is ended by -1
-    at = np.concatenate([np.arange(a, b - least + 1) for a, b in zip(item_starts, ends, strict=True)] or [np.array([], dtype=np.int64)]).astype(np.int64)
+    ends = np.append(item_starts, len(items))[1:] - 1  # each item is ended by -1
+    at = np.concatenate([np.array([], dtype=np.int64), *(np.arange(a, b - least + 1) for a, b in zip(item_starts, ends, strict=True))]).astype(np.int64)
     if len(at):
         # a window with a word the shard does not have cannot match
         known = np.concatenate([[0], np.cumsum(items > 0)])

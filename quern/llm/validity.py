@@ -122,7 +122,7 @@ def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
     while len(maps) > 1:
         maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
     ok = settle(head["lang"], maps[0])
-    if ok is None:
+    if ok is None or not ok and _markup(head["ext"]):  # text between markup elements may hold any brackets and quotes
         ok = is_valid("".join(pdf["chunk"]), head["lang"], _markup(head["ext"]))
     return pd.DataFrame([(head["path"], head["workspace"], head["lang"], head["version"], head["at"], ok)], columns=["path", "workspace", "lang", "version", "at", "valid"])
 

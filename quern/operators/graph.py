@@ -43,7 +43,8 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     A root is never its own result. ``seeds`` is (root, id). Null ends lead nowhere.
     """
     scratch = Scratch(edges.sparkSession, "walk")
-    edges = edges.where("a is not null and b is not null").select("a", "b").distinct()
+    # written once, two columns wide: every level reads it again
+    edges = scratch.put(edges.where("a is not null and b is not null").select("a", "b").distinct())
     seen = scratch.put(seeds.select("root", "id").distinct().withColumn("depth", F.lit(0)))
     levels, front = [seen], seen
     for level in range(1, depth + 1):
@@ -91,9 +92,10 @@ def reach(symbols: DataFrame, relations: DataFrame, seeds: DataFrame, upstream:
 def _walk_with_files(symbols: DataFrame, relations: DataFrame, seeds: DataFrame, upstream: bool, depth: int) -> DataFrame:
     """Level by level through files as well, without ever joining all symbols of a file with all of another."""
     scratch = Scratch(symbols.sparkSession, "walk")
-    edges = symbol_edges(symbols, relations, upstream).distinct()
+    edges = scratch.put(symbol_edges(symbols, relations, upstream).distinct())
+    symbols = scratch.put(symbols.select("id", "file_path"))
     imports = relations.where("type = 'IMPORTS'")
-    files = imports.select(F.col("target").alias("file_path"), F.col("source").alias("far")) if upstream else imports.select(F.col("source").alias("file_path"), F.col("target").alias("far"))
+    files = scratch.put(imports.select(F.col("target").alias("file_path"), F.col("source").alias("far")) if upstream else imports.select(F.col("source").alias("file_path"), F.col("target").alias("far")))
     members = symbols.select(F.col("file_path").alias("far"), "id") if upstream else relations.where("type = 'EXPORTS'").select(F.col("source").alias("far"), F.col("target").alias("id")).join(symbols.select("id"), "id", "left_semi")
     seen = scratch.put(seeds.select("root", "id").distinct().withColumn("depth", F.lit(0)))
     levels, front = [seen], seen
@@ -157,11 +159,14 @@ def impact(symbols: DataFrame, relations: DataFrame, targets: DataFrame, directi
     Symbols and files are walked apart; each depth counts the larger of the two. In both directions an id reached both
     ways keeps its upstream depth, while counts by depth take each way's own.
     """
+    scratch = Scratch(symbols.sparkSession, "impact")
+    symbols = scratch.put(symbols.select("id", "name", "file_path", "line"))
+    relations = scratch.put(relations.where(F.col("type").isin(DEPENDENCY + HIERARCHY + ["IMPORTS", "EXPORTS"])).select("source", "target", "type"))
     seeds = targets.select(F.col("id").alias("root"), "id").distinct()
     ways = [w for w in ("upstream", "downstream") if direction in (w, "both")]
     parts = [reach(symbols, relations, seeds, w == "upstream", depth, include_files=False).withColumn("way", F.lit(k)) for k, w in enumerate(ways)]
     reached = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    own = reached.groupBy("root", "id").agg(F.min_by("depth", "way").alias("depth"))
+    own = scratch.put(reached.groupBy("root", "id").agg(F.min_by("depth", "way").alias("depth")))
     home = seeds.join(symbols.select("id", "file_path"), "id").select("root", F.col("file_path").alias("id"))
     files = file_reach(relations, home, direction, depth)
     extra = imported_file_symbols(symbols, relations, files.select("root", F.col("id").alias("path"), "depth"), own.select("root", "id"))

@@ -11,6 +11,7 @@ from quern.functions import trees
 from quern.operators import documents as doc
 from quern.plans.common import with_graph
 from quern.plans.lookups import _DOC, _FIL, _SPE
+from quern.session import Scratch
 from quern.sources import extract
 
 _REQUIREMENT = {"type": "section", "matches": "^Requirement:", "parent": {"type": "section", "matches": "^Requirements$"}}
@@ -21,7 +22,7 @@ def _nodes(s, d):
 
 
 def _rules(s, d):
-    rows, specs = _nodes(s, d), _SPE(s, d)
+    rows, specs = Scratch(s, "nodes").put(_nodes(s, d)), _SPE(s, d)
     out = None
     for k, rule in enumerate(({"selector": {"type": "section", "level": 1}, "exactly": 1}, {"selector": {"type": "section", "matches": "^Purpose$"}}, {"selector": _REQUIREMENT, "required": False, "unique_by": "label"})):
         part = doc.check_rule(rows, specs, "spec_id", rule).withColumn("rule", F.lit(k))
@@ -42,7 +43,8 @@ def _summaries(s, d):
 
 
 def _resolved(s, d):
-    found = extract.analysed(_FIL(s, d))
+    # the facts are used several times over: files are read and parsed once
+    found = Scratch(s, "facts").put(extract.analysed(_FIL(s, d)))
     return extract.call_edges(found, extract.import_edges(found, _FIL(s, d)))
 
 

@@ -19,20 +19,23 @@ from pyspark.sql import functions as F
 from quern.session import Scratch
 
 
-def _numbered(src: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, nid) and links (c, p), each node with at most one existing parent."""
+def _numbered(src: DataFrame, scratch: Scratch, named: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes (id, nid), those of them that name no parent, and for the rest (c, p): p is the one existing parent or null. ``named`` adds the id as ``cid``."""
     key = lambda c: [F.xxhash64(c).alias("k1"), F.xxhash64(F.lit("quern"), c).alias("k2")]
     once = src.groupBy("id").agg(F.min("parent").alias("lo"), F.max("parent").alias("hi"))
+    one = F.col("lo") == F.col("hi")
     nodes = scratch.put(
-        once.select(F.monotonically_increasing_id().alias("nid"), "id", *key("id"), F.when(F.col("lo") == F.col("hi"), F.xxhash64("lo")).alias("q1"), F.when(F.col("lo") == F.col("hi"), F.xxhash64(F.lit("quern"), "lo")).alias("q2"), (F.col("lo") != F.col("hi")).alias("several"))
+        once.select(F.monotonically_increasing_id().alias("nid"), "id", *key("id"), F.when(one, F.xxhash64("lo")).alias("q1"), F.when(one, F.xxhash64(F.lit("quern"), "lo")).alias("q2"), F.coalesce(~one, F.lit(False)).alias("several"))
     )
+    cid = [F.col("id").alias("cid")] if named else []
     names = nodes.select(F.col("nid").alias("p"), F.col("k1").alias("q1"), F.col("k2").alias("q2"))
-    single = nodes.where("q1 is not null").select(F.col("nid").alias("c"), "q1", "q2").join(names, ["q1", "q2"]).select("c", "p")
+    single = nodes.where("q1 is not null").select(F.col("nid").alias("c"), "q1", "q2", *cid).join(names, ["q1", "q2"], "left").select("c", "p", *(["cid"] if named else []))
     # ids whose rows disagree: the smallest parent that exists counts
     disputed = nodes.where("several").select("id", F.col("nid").alias("c"))
     choice = src.join(disputed, "id").where("parent is not null").select("c", "parent", F.xxhash64("parent").alias("q1"), F.xxhash64(F.lit("quern"), "parent").alias("q2")).distinct()
     settled = choice.join(names, ["q1", "q2"]).groupBy("c").agg(F.min_by("p", "parent").alias("p"))
-    return nodes.select("id", "nid"), single.unionByName(settled)
+    settled = disputed.select("c", *cid).join(settled, "c", "left").select("c", "p", *(["cid"] if named else []))
+    return nodes.select("id", "nid"), nodes.where("q1 is null and not several").select("id", "nid"), scratch.put(single.unionByName(settled))
 
 
 def resolve(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id", paths: bool = False) -> DataFrame:
@@ -45,13 +48,11 @@ def resolve(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
     scratch = Scratch(rows.sparkSession, "hierarchy")
     parent = F.col(parent_col).cast("string")
     src = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.when(parent != "", parent).alias("parent"))
-    nodes, links = _numbered(src, scratch)
-    alive = links.select("c", "p", F.lit(1).cast("long").alias("w"))
+    nodes, free, links = _numbered(src, scratch, paths)
     none = F.array().cast("array<string>")
-    if paths:
-        alive = alive.join(nodes.select(F.col("nid").alias("c"), F.col("id").alias("cid")), "c").withColumn("seg", none)
-    alive = scratch.put(alive)
-    first, extra = alive, (["cid", "seg"] if paths else [])
+    extra = ["cid", "seg"] if paths else []
+    alive = links.where("p is not null").select("c", "p", F.lit(1).cast("long").alias("w"), *([F.col("cid"), none.alias("seg")] if paths else []))
+    first = alive
     rounds: list[DataFrame] = []
     while not alive.where("c <> p").isEmpty():
         coin = lambda c, i=len(rounds): F.xxhash64(F.lit(i), F.col(c))
@@ -68,31 +69,32 @@ def resolve(rows: DataFrame, id_col: str = "id", parent_col: str = "parent_id",
         rounds.append(done)
         alive = done.where("gone = 0").drop("gone")
     # back through the records; nodes that never had a parent need no row, a missing one is a root
-    solved = [alive.select("c", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(True).alias("endless"), *([none.alias("path")] if paths else []))]
+    solved = [alive.select("c", F.lit(None).cast("long").alias("root"), F.lit(None).cast("long").alias("depth"), F.lit(True).alias("endless"), *([F.col("cid"), none.alias("path")] if paths else []))]
+    tops: list[DataFrame] = []
     if paths:
-        tops = first.select("p").distinct().join(first.select(F.col("c").alias("p")), "p", "left_anti").join(nodes.withColumnRenamed("nid", "p"), "p")
-        solved.append(scratch.put(tops.select(F.col("p").alias("c"), F.col("p").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("endless"), F.array("id").alias("path"))))
+        roots = free.select(F.col("nid").alias("p"), "id").unionByName(links.where("p is null").select(F.col("c").alias("p"), F.col("cid").alias("id")))
+        held = roots.join(first.select("p").distinct(), "p", "left_semi")
+        tops = [scratch.put(held.select(F.col("p").alias("c"), F.col("p").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("endless"), F.col("id").alias("cid"), F.array("id").alias("path")))]
     for k, done in enumerate(reversed(rounds)):
         known = solved[0]
-        for more in solved[1:]:
+        for more in solved[1:] + tops:
             known = known.unionByName(more)
         known = known.select(F.col("c").alias("p"), "root", "depth", "endless", *(["path"] if paths else []))
         for gone in (2, 1):  # leaves went last, so they come back first; both hang on survivors of the round
             back = done.where(F.col("gone") == gone).drop("gone").join(known, "p", "left")
             path = [F.when(F.coalesce("endless", F.lit(False)), none).otherwise(F.concat("path", "seg", F.array("cid"))).alias("path")] if paths else []
             endless = F.coalesce("endless", F.lit(False))
-            back = back.select("c", F.when(~endless, F.coalesce("root", "p")).alias("root"), F.when(~endless, F.coalesce("depth", F.lit(0)) + F.col("w")).alias("depth"), endless.alias("endless"), *path)
+            back = back.select("c", F.when(~endless, F.coalesce("root", "p")).alias("root"), F.when(~endless, F.coalesce("depth", F.lit(0)) + F.col("w")).alias("depth"), endless.alias("endless"), *(["cid"] if paths else []), *path)
             solved.append(back)
         if k < len(rounds) - 1:  # the last step, by far the largest, is left to the caller's plan
             solved[-2:] = [scratch.put(solved[-2].unionByName(solved[-1]))]
     known = solved[0]
     for more in solved[1:]:
         known = known.unionByName(more)
-    if paths:  # tops are in the records
-        out = nodes.join(known.withColumnRenamed("c", "nid"), "nid", "left")
-        endless = F.coalesce("endless", F.lit(False))
-        path = F.when(~endless, F.coalesce("path", F.array("id")))
-        return out.select("id", path[0].alias("root"), F.when(~endless, F.coalesce("depth", F.lit(0))).alias("depth"), endless.alias("endless"), path.alias("path"))
+    if paths:  # every node is in the records, or is a root and its own path
+        alone = free.select("id").unionByName(links.where("p is null").select(F.col("cid").alias("id")))
+        below = known.select(F.col("cid").alias("id"), F.when(~F.col("endless"), F.col("path")[0]).alias("root"), "depth", "endless", F.when(~F.col("endless"), F.col("path")).alias("path"))
+        return below.unionByName(alone.select("id", F.col("id").alias("root"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("endless"), F.array("id").alias("path")))
     out = nodes.join(known.withColumnRenamed("c", "nid"), "nid", "left")
     endless = F.coalesce("endless", F.lit(False))
     named = out.select("id", F.coalesce("root", F.when(~endless, F.col("nid"))).alias("rid"), F.when(~endless, F.coalesce("depth", F.lit(0))).alias("depth"), endless.alias("endless"))

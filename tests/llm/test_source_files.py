@@ -61,7 +61,7 @@ def test_verdicts_do_not_depend_on_the_chunk(spark):
 
 @pytest.mark.parametrize(("comment", "name", "says"), [
     ("/** Loads the cache. */", "load", True), ("/** load */", "load", False), ("/** The loadCache function. */", "loadCache", False), ("// ------ load cache ------", "loadCache", False), ("/** LOAD CACHE! */", "loadCache", False), ("// Load cache from disk", "loadCache", True),
-    ("// eslint-disable-next-line complexity", "f", False), ("# noqa: C901", "f", False), ("// #region helpers", "f", False), ("// Region of the map that is shown", "f", True), ("// Coverage of the cache by tests", "f", True),
+    ("// eslint-disable-next-line complexity", "f", False), ("# noqa: C901", "f", False), ("// #region helpers", "f", False), ("// Region of the map that is shown", "f", True), ("// region to string", "toString", False), ("/** endregion */", "f", False), ("// Coverage of the cache by tests", "f", True),
     ("/** TODO */", "f", False), ('"""Description here."""', "f", False), ("/** TODO: speed this up. Keeps each task in order. */", "f", True), ("// TODO: document this", "f", False), ("// n/a", "f", False), ("/** No description. */", "f", False),
     ("/**\n * @param a - the name\n * @returns the value\n */", "f", False), ("/** {@inheritDoc} */", "f", False), ("/**\n * Orders all rows.\n * @param a - x\n */", "f", True), ('"""\nArgs:\n    a: the name.\n"""', "f", False), ('    """Orders all rows.\n\n    Args:\n        a: the name.\n    """', "f", True),
     ("// Copyright (c) 2020 The Authors. All rights reserved.\n// SPDX-License-Identifier: MIT", "f", False), ("// @author nobody\n// @since 0.1", "f", False), ("// const a = load(b);\n// return a;", "f", False), ("'''page = lock(parser)\nreturn page\n'''", "f", False), ("# if a:\n#     b()", "f", False),

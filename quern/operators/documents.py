@@ -19,7 +19,7 @@ from quern.functions import trees
 NODE = "path array<int>, parent_path array<int>, above array<string>, type string, label string, value string, value_type string, level int, ordered boolean, ord int, error string"
 
 
-def _parse(form: str, key_name: str):
+def _parse(form: str):
     names = [c.split()[0] for c in NODE.split(", ")]
 
     def run(batches):
@@ -38,7 +38,7 @@ def _parse(form: str, key_name: str):
 def nodes(documents: DataFrame, key: str, form: str = "markdown", content: str = "content") -> DataFrame:
     """Rows of all nodes: doc and the columns of ``NODE``. Null keys and contents are left out; a text that does not parse gives one row with ``error``."""
     src = documents.where(F.col(key).isNotNull() & F.col(content).isNotNull()).select(F.col(key).alias("doc"), F.col(content).alias("content"))
-    return src.mapInPandas(_parse(form, key), f"doc {src.schema['doc'].dataType.simpleString()}, {NODE}")
+    return src.mapInPandas(_parse(form), f"doc {src.schema['doc'].dataType.simpleString()}, {NODE}")
 
 
 def _text(rows: DataFrame) -> DataFrame:

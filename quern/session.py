@@ -52,7 +52,6 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.count = 0
-        self._where: dict[int, str] = {}
         atexit.register(self._remove, self.root)
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -60,7 +59,6 @@ class Scratch:
         self.count += 1
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._where[id(out)] = path
         out._quern_path = path  # type: ignore[attr-defined]
         return out
 

@@ -98,3 +98,29 @@ def test_stream_equals_batch(spark, tmp_path, small):
     query.processAllAvailable()
     query.stop()
     assert sum(seen) == src.count()
+
+
+def test_streamed_state_and_upserts(spark, tmp_path):
+    log = spark.createDataFrame([("c", 1, "created", None), ("c", 2, "transitioned", "implementing"), ("c", 3, "signed-off", None), ("d", 1, "created", None), ("d", 2, "signed-off", None), ("d", 3, "invalidated", None)], "change string, seq long, type string, to_state string").withColumn("at", F.col("seq"))
+    log.repartition(3).write.parquet(str(tmp_path / "log"))
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "log"))
+    query = incremental.change_states(stream).writeStream.outputMode("complete").format("memory").queryName("states").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    query.awaitTermination(120)
+    assert sorted(map(str, spark.table("states").collect())) == sorted(map(str, ev.change_state(log).collect()))
+    st = store.Store(spark, str(tmp_path / "s"))
+    f = spark.createDataFrame([("w:a", "1"), ("w:b", "1")], "path string, content_hash string")
+    s = spark.createDataFrame([("a1", "w:a"), ("b1", "w:b")], "id string, file_path string")
+    r = spark.createDataFrame([("b1", "a1", "CALLS")], "source string, target string, type string")
+    st.bulk_load({"files": f.limit(0), "symbols": s.limit(0), "relations": r, "docnodes": spark.createDataFrame([], "path string"), "specs": spark.createDataFrame([], "spec_id string")})
+    assert {tuple(x) for x in incremental.upsert_changed(st, f, s, r).collect()} == {("w:a", "new"), ("w:b", "new")}
+    first = st.generation
+    incremental.upsert_changed(st, f, s, r)
+    assert st.generation == first and st.table("files").count() == 2 and st.table("relations").count() == 1
+
+
+def test_cache_and_freshness(spark):
+    now = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("c", 3, "z"), ("d", 4, "w")], "key string, stamp long, fingerprint string")
+    old = spark.createDataFrame([("a", 1, "q", "A", "v1"), ("b", 9, "y", "B", "v1"), ("c", 9, "q", "C", "v1"), ("d", 4, "w", "D", "v0")], "key string, stamp long, fingerprint string, result string, version string")
+    assert {tuple(x) for x in incremental.cached_results(now, old, "v1").collect()} == {("a", "hard", "A"), ("b", "soft", "B"), ("c", "miss", None), ("d", "miss", None)}
+    assert not incremental.needs_rebuild(now, now) and incremental.needs_rebuild(now, now, True)
+    assert incremental.needs_rebuild(now, now.limit(3)) and incremental.needs_rebuild(now, now.withColumn("stamp", F.col("stamp") + 1))

@@ -7,6 +7,11 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Where names are parted (case changes, then letters and digits), and what separates their parts.
+CASE_BORDERS = [("([a-z0-9])([A-Z])", "$1 $2"), ("([A-Z]+)([A-Z][a-z])", "$1 $2")]
+DIGIT_BORDERS = [("([A-Za-z])([0-9])", "$1 $2"), ("([0-9])([A-Za-z])", "$1 $2")]
+INDEX_BORDERS = [("([a-z])([A-Z])", "$1 $2"), ("([A-Z]+)([A-Z][a-z])", "$1 $2")]
+SEPARATORS = "[:/_.-]+"
 _REGEX_SIGNS = ".^$+?()[]{}|\\"
 
 
@@ -50,16 +55,18 @@ def matches(value: Column, pattern: str) -> Column:
 
 def split_words(name: Column) -> Column:
     """Array of the lower-case parts of a name at case changes, letter–digit borders and ``: / _ . -``."""
-    x = F.regexp_replace(name, "([a-z0-9])([A-Z])", "$1 $2")
-    x = F.regexp_replace(x, "([A-Z]+)([A-Z][a-z])", "$1 $2")
-    x = F.regexp_replace(F.regexp_replace(x, "([A-Za-z])([0-9])", "$1 $2"), "([0-9])([A-Za-z])", "$1 $2")
-    x = F.trim(F.lower(F.regexp_replace(x, "[:/_.-]+", " ")))
+    x = name
+    for pattern, put in CASE_BORDERS + DIGIT_BORDERS + [(SEPARATORS, " ")]:
+        x = F.regexp_replace(x, pattern, put)
+    x = F.trim(F.lower(x))
     return F.filter(F.split(x, r"\s+"), lambda p: p != "")
 
 
 def expand_name(name: Column) -> Column:
     """The name, followed by its parts where it has more than one."""
-    x = F.regexp_replace(F.regexp_replace(name, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
+    x = name
+    for pattern, put in INDEX_BORDERS:
+        x = F.regexp_replace(x, pattern, put)
     parts = F.trim(F.lower(F.translate(x, "_-", "  ")))
     return F.when(parts == F.lower(name), name).otherwise(F.concat(name, F.lit(" "), parts))
 
@@ -141,6 +148,8 @@ def expand_query(query: str) -> tuple[str, list[str], list[str]]:
     raw = [t.lower() for t in query.split()]
     out: list[str] = []
     for token in raw:
-        x = re.sub(r"([0-9])([A-Za-z])", r"\1 \2", re.sub(r"([A-Za-z])([0-9])", r"\1 \2", token))
-        out += [token, *re.sub(r"[:/_.-]+", " ", x).split()]
+        x = token  # lower case already: only digits and separators part it
+        for pattern, put in DIGIT_BORDERS:
+            x = re.sub(pattern, put.replace("$", "\\"), x)
+        out += [token, *re.sub(SEPARATORS, " ", x).split()]
     return " ".join(raw), raw, list(dict.fromkeys(out))

@@ -265,8 +265,15 @@ def nearest(files: DataFrame, k: int = 5, dim: int = 64, target: float = TARGET)
             g, size = g + 1, 0
         group_of[leaf], size = g, size + counts[leaf]
         cuts[leaf] = max(1, -(-counts[leaf] // GROUP_ROWS))
-    # all vectors may ask any group: blocks by the count of all, which only makes blocks smaller than they may be
-    blocks = np.full(g + 1, max(1, -(-n // QUERY_ROWS)) if g + 1 <= 64 else max(1, -(-(n * min(visits, g + 1)) // ((g + 1) * QUERY_ROWS))), dtype=np.int64)
+    # how many queries a group gets, estimated on the sample: it sets the size of tasks, not what they find
+    asking = np.zeros(g + 1)
+    some = unit(_matrix(sample["vec"].iloc[:4_000], dim)).astype(np.float32)
+    for x in np.array_split(some, max(1, len(some) // 500)):
+        keys = tree.order_keys(x)
+        reached = np.argpartition(keys, visits - 1, axis=1)[:, :visits] if visits < keys.shape[1] else np.tile(np.arange(keys.shape[1]), (len(keys), 1))
+        for groups in group_of[reached]:
+            asking[np.unique(groups)] += 1
+    blocks = np.maximum(1, np.ceil(asking / len(some) * n / QUERY_ROWS)).astype(np.int64)
     routed = indexed.mapInPandas(_route(tree, dim, visits, group_of, cuts, blocks), "g int, part int, block int, cid long, vec binary, leaf int, probes binary")
     near = routed.groupBy("g", "part", "block").applyInPandas(_search(dim, k), "cid long, near array<struct<sim:double,cid:long>>")
     merged = near.groupBy("cid").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near")), asc=False), 1, k).alias("near"))

@@ -7,6 +7,8 @@ Edges are reduced to two columns and content never enters a join.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,9 @@ from quern.tables import DEPENDENCY, HIERARCHY
 # Which table each end of a relation type names.
 ENDPOINTS = {"IMPORTS": ("file", "file"), "DEFINES": ("file", "symbol"), "EXPORTS": ("file", "symbol"), "CALLS": ("symbol", "symbol"), "CONSTRUCTS": ("symbol", "symbol"), "USES_TYPE": ("symbol", "symbol"), "EXTENDS": ("symbol", "symbol"), "IMPLEMENTS": ("symbol", "symbol"), "OVERRIDES": ("symbol", "symbol"), "DEPENDS_ON": ("spec", "spec"), "COVERS_FILE": ("spec", "file"), "COVERS_SYMBOL": ("spec", "symbol")}
 
+#: A walk writes its levels together when there are more than so many.
+MERGE = 16
+
 
 def neighbours(relations: DataFrame, types: list[str], node: str, incoming: bool) -> DataFrame:
     """Edges of some types into (or out of) a node."""
@@ -37,17 +42,22 @@ def with_endpoints(relations: DataFrame, files: DataFrame, symbols: DataFrame, s
     return edges.join(nodes.withColumnsRenamed({"k": "target", "kind": "t_kind"}), ["target", "t_kind"], "left_semi").drop("s_kind", "t_kind")
 
 
-def walk(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def walk(edges: DataFrame, seeds: DataFrame, depth: int | None) -> DataFrame:
     """Nodes reached from each root: (root, id, depth), depth from 1, shallowest only; ``edges`` is (a, b), walked from a to b.
 
-    A root is never its own result. ``seeds`` is (root, id). Null ends lead nowhere.
+    Without a depth the walk ends when nothing new is reached. A root is never its own result. ``seeds`` is (root, id). Null ends lead nowhere.
     """
     scratch = Scratch(edges.sparkSession, "walk")
     # written once, two columns wide: every level reads it again
     edges = scratch.put(edges.where("a is not null and b is not null").select("a", "b").distinct())
     seen = scratch.put(seeds.select("root", "id").distinct().withColumn("depth", F.lit(0)))
     levels, front = [seen], seen
-    for level in range(1, depth + 1):
+    for level in itertools.count(1) if depth is None else range(1, depth + 1):
+        if len(levels) > MERGE:  # long chains: plans do not grow with the depth
+            merged = levels[0]
+            for more in levels[1:]:
+                merged = merged.unionByName(more)
+            levels = [scratch.put(merged)]
         step = front.select("root", F.col("id").alias("a")).join(edges, "a").select("root", F.col("b").alias("id")).distinct()
         known = levels[0].select("root", "id")
         for more in levels[1:]:
@@ -224,8 +234,8 @@ def detect_changes(symbols: DataFrame, relations: DataFrame, changed: DataFrame,
     return per.withColumn("risk", risk_level("direct", "total")), reached.groupBy("id").agg(F.min("depth").alias("depth"))
 
 
-def dependency_closure(edges: DataFrame, seeds: DataFrame, depth: int = 64) -> DataFrame:
-    """(root, id, depth) over (a, b); cycles end by themselves."""
+def dependency_closure(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, id, depth) over (a, b), of any depth unless one is given; cycles end by themselves."""
     return walk(edges, seeds, depth)
 
 

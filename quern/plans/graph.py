@@ -56,7 +56,7 @@ def _truncated(s, d):
 
 def _closure(s, d):
     edges = _REL(s, d).where("type = 'DEPENDS_ON'").select(F.col("source").alias("a"), F.col("target").alias("b"))
-    return g.dependency_closure(edges, _SPE(s, d).select(F.col("spec_id").alias("root"), F.col("spec_id").alias("id")), 6)
+    return g.dependency_closure(edges, _SPE(s, d).select(F.col("spec_id").alias("root"), F.col("spec_id").alias("id")))
 
 
 def _facts(s, d):

@@ -140,3 +140,19 @@ def test_empty_tables(spark):
     assert scoring.edge_counts(e).where("edges = 0").count() == 12
     assert graph.reach(s, e, spark.createDataFrame([], "root string, id string"), True).count() == 0
     assert search.symbols(s, "x").count() == 0
+
+
+def test_closure_has_no_depth_of_its_own(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(70)] + [("n70", "n68")], "a string, b string")
+    got = graph.dependency_closure(chain, spark.createDataFrame([("n0", "n0")], "root string, id string"))
+    assert {(r["id"], r["depth"]) for r in got.collect()} == {(f"n{i}", i) for i in range(1, 71)}
+
+
+def test_registered_closure_is_whole(spark, tmp_path):
+    import __spark_entry__ as e
+
+    spec = "spec_id string, path string, title string, description string, content_hash string, content string, depends_on array<string>, workspace string"
+    spark.createDataFrame([(f"w:s{i}", *[None] * 7) for i in range(10)], spec).write.parquet(str(tmp_path / "specs.parquet"))
+    edges(spark, *[(f"w:s{i}", f"w:s{i + 1}", "DEPENDS_ON") for i in range(9)]).write.parquet(str(tmp_path / "relations.parquet"))
+    got = e.queries()["g21_dependency_closure"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(f"w:s{i}", f"w:s{j}", j - i) for i in range(10) for j in range(i + 1, 10)}

@@ -48,6 +48,11 @@ def _resolved(s, d):
     return extract.call_edges(found, extract.import_edges(found, _FIL(s, d)))
 
 
+def _resolved_bases(s, d):
+    found = Scratch(s, "facts").put(extract.analysed(_FIL(s, d)))
+    return extract.base_edges(found, extract.import_edges(found, _FIL(s, d)))
+
+
 QUERIES = {
     "s12_markdown_nodes": lambda s, d: _nodes(s, d).select("doc", "ord", "type", "label", "level", F.array_join(F.transform("path", lambda p: p.cast("string")), ".").alias("path")),
     "s15_plaintext_lines": lambda s, d: doc.nodes(_DOC(s, d), "path", "plaintext").where("type in ('paragraph', 'line')").groupBy("doc").agg(F.sum(F.when(F.col("type") == "paragraph", 1).otherwise(0)).alias("paragraphs"), F.sum(F.when(F.col("type") == "line", 1).otherwise(0)).alias("lines")),
@@ -60,6 +65,7 @@ QUERIES = {
     "s08_extracted_symbols": lambda s, d: extract.symbols(extract.analysed(_FIL(s, d))),
     "n01_import_facts": lambda s, d: extract.analysed(_FIL(s, d)).where("fact = 'import'").select("path", "name", "kind", "target", "line"),
     "n04_resolved_calls": _resolved,
+    "n04_resolved_bases": _resolved_bases,
     "n06_import_edges": lambda s, d: extract.import_edges(extract.analysed(_FIL(s, d)), _FIL(s, d)),
 }
 

@@ -13,7 +13,6 @@ import warnings
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quern.operators.events import enclosing
@@ -49,7 +48,9 @@ def _at(breaks: list[int], i: int) -> tuple[int, int]:
 
 
 def facts(text: str, language: str) -> list[tuple]:
-    """Rows (fact, name, kind, target, receiver, line, column): symbol, import, call and base facts of a file."""
+    """Rows (fact, name, kind, target, receiver, line, column): symbol, import, call, base and export facts of a file.
+
+    The receiver of an import or export is the name it has in the file it comes from, or goes out by."""
     if language == "python":
         return _python(text)
     code = blank(text, language)
@@ -88,12 +89,20 @@ def facts(text: str, language: str) -> list[tuple]:
         name = m[1] or m[3] or m[4]
         if name in _NOT_CALLS or m[2] in _NOT_CALLS or re.search(r"\b(?:function|func|def)\s*&?\s*$", code[max(0, m.start() - 12) : m.start()]) or m.start(4) in seen:
             continue
-        form = "constructor" if m[1] else ("static" if m[2][0].isupper() else "member") if m[2] else "free"
-        out.append(("call", name, form, None, m[2], *_at(breaks, m.start())))
+        form = "constructor" if m[1] or m[2] and re.search(r"\bnew\s+$", code[max(0, m.start() - 8) : m.start()]) else ("static" if m[2][0].isupper() else "member") if m[2] else "free"
+        before = re.search(r"(?:\.|->|::|\$)\s*$", code[max(0, m.start() - 8) : m.start()]) if m[2] and not (language == "php" and m[2] == "this") else None
+        # a property of something, or a PHP variable, is no name that a file declares or imports: marked by what stands before it
+        out.append(("call", name, form, None, (before[0].strip() if before else "") + m[2] if m[2] else None, *_at(breaks, m.start())))
     for m in re.finditer(rf"\b(?:class|interface)\s+({_ID})[^{{\n]*?\bextends\s+({_ID}(?:\s*,\s*{_ID})*)", code):
-        out += [("base", m[1], "EXTENDS", b.strip(), None, *_at(breaks, m.start())) for b in m[2].split(",")]
+        out += [("base", m[1], "EXTENDS", b.strip(), None, *_at(breaks, m.start(1))) for b in m[2].split(",")]
     for m in re.finditer(rf"\bclass\s+({_ID})[^{{\n]*?\bimplements\s+({_ID}(?:\s*,\s*{_ID})*)", code):
-        out += [("base", m[1], "IMPLEMENTS", b.strip(), None, *_at(breaks, m.start())) for b in m[2].split(",")]
+        out += [("base", m[1], "IMPLEMENTS", b.strip(), None, *_at(breaks, m.start(1))) for b in m[2].split(",")]
+    if _RULES[language] is _TS:
+        for m in re.finditer(rf"^[ \t]*export\s+default\s+(?:(?:abstract\s+)?class\s+|(?:async\s+)?function\s*\*?\s*)?({_ID})", code, re.M):
+            out.append(("export", m[1], "default", None, "default", *_at(breaks, m.start(1))))
+        for m in re.finditer(r"^[ \t]*export\s*\{([^}]*)\}(?!\s*from\b)", code, re.M):
+            for one in (re.sub(r"^type\s+", "", x.strip()).split(" as ") for x in m[1].split(",") if " as " in x):
+                out.append(("export", one[0].strip(), "named", None, one[-1].strip(), *_at(breaks, m.start())))
     return out
 
 
@@ -146,7 +155,7 @@ def _read(batches):
 
 
 def analysed(files: DataFrame) -> DataFrame:
-    """All facts of all files with a known ending: path, fact (symbol, import, call, base, error), name, kind, target, receiver, line, column, error."""
+    """All facts of all files with a known ending: path, fact (symbol, import, call, base, export, error), name, kind, target, receiver, line, column, error."""
     known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     src = files.where("path is not null and content is not null").select("path", known[F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))].alias("language"), "content").where("language is not null")
     return src.mapInPandas(_read, "path string, fact string, name string, kind string, target string, receiver string, line int, column int, error string")
@@ -157,8 +166,8 @@ def symbols(found: DataFrame) -> DataFrame:
     return s.select(F.concat_ws(":", "path", "kind", "name", "line", "column").alias("id"), "name", "kind", F.col("path").alias("file_path"), "line", F.col("column").alias("column_number"))
 
 
-def import_edges(found: DataFrame, paths: DataFrame) -> DataFrame:
-    """IMPORTS edges (source, target): relative specifiers against the importing file, endings tried in order, the first that exists wins."""
+def _tried(found: DataFrame) -> DataFrame:
+    """(source, target, n, candidate): the paths an import could mean, in order."""
     rel = found.where("fact = 'import' and target like '.%'").select("path", "target").distinct()
     python = F.col("path").rlike(r"\.pyi?$")
     dots = F.length(F.regexp_extract("target", r"^(\.+)", 1))
@@ -170,22 +179,93 @@ def import_edges(found: DataFrame, paths: DataFrame) -> DataFrame:
     base = F.concat(F.substring_index("path", ":", 1), F.lit(":"), F.array_join(walked, "/"))
     stem = F.regexp_replace(base, r"\.jsx?$", "")
     ends = F.when(python, F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit(".pyi")), F.concat(base, F.lit("/__init__.py")))).otherwise(F.array(base, F.concat(stem, F.lit(".ts")), F.concat(stem, F.lit(".tsx")), F.concat(stem, F.lit(".js")), F.concat(stem, F.lit("/index.ts")), F.concat(stem, F.lit("/index.js"))))
-    tried = rel.select(F.col("path").alias("source"), "target", F.posexplode(ends).alias("n", "candidate"))
-    met = tried.join(paths.select(F.col("path").alias("candidate")).distinct(), "candidate")
+    return rel.select(F.col("path").alias("source"), "target", F.posexplode(ends).alias("n", "candidate"))
+
+
+def import_edges(found: DataFrame, paths: DataFrame) -> DataFrame:
+    """IMPORTS edges (source, target): relative specifiers against the importing file, endings tried in order, the first that exists wins."""
+    met = _tried(found).join(paths.select(F.col("path").alias("candidate")).distinct(), "candidate")
     return met.groupBy("source", "target").agg(F.min_by("candidate", "n").alias("found")).select("source", F.col("found").alias("target")).distinct()
 
 
+#: What a receiver may be that is declared in the file itself, and words for the object at hand.
+_TYPES = ["class", "interface", "enum", "type"]
+_OWN = ["this", "self", "cls", "static"]
+
+
+def _unique(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows whose target is the only one of their keys."""
+    return rows.groupBy(*keys).agg(F.min("target").alias("target"), F.max("target").alias("_hi")).where("target = _hi").drop("_hi")
+
+
+def _bound(found: DataFrame, imports: DataFrame) -> DataFrame:
+    """Import facts with the file they resolve to: (file_path, name, kind, original, file)."""
+    met = _tried(found).join(imports.select("source", F.col("target").alias("candidate")).distinct(), ["source", "candidate"])
+    where = met.groupBy("source", "target").agg(F.min_by("candidate", "n").alias("file"))
+    facts = found.where("fact = 'import'").select(F.col("path").alias("source"), "target", "name", "kind", F.col("receiver").alias("original"))
+    return facts.join(where, ["source", "target"]).select(F.col("source").alias("file_path"), "name", "kind", "original", "file").distinct()
+
+
+def _names(found: DataFrame, bound: DataFrame) -> DataFrame:
+    """What a name stands for in a file: (file_path, name, target, rank), one row a name.
+
+    First what is imported by that name, met by its original name, the first declaration there; then the only local symbol;
+    then the only one of the files taken in whole (``*``, require). Defaults and renamed exports go by their export facts.
+    """
+    syms = symbols(found)
+    tops = syms.where("kind <> 'method'").select(F.col("file_path").alias("file"), "name", "id", "line", "column_number")
+    out = found.where("fact = 'export'").select(F.col("path").alias("file"), "name", F.col("receiver").alias("original"))
+    offered = tops.withColumn("original", F.col("name")).unionByName(tops.join(out, ["file", "name"]))
+    offered = offered.groupBy("file", "original").agg(F.min_by("id", F.struct("line", "column_number", "id")).alias("target"))
+    whole = F.col("kind").isin("require", "dynamic") | (F.coalesce("original", F.lit("")) == "*")
+    by_name = bound.where(~whole & F.col("name").isNotNull() & F.col("original").isNotNull()).join(offered, ["file", "original"])
+    taken = bound.where(whole).select("file_path", "file").join(tops.select("file", "name", F.col("id").alias("target")), "file")
+    ranked = [_unique(by_name, "file_path", "name"), _unique(syms.withColumn("target", F.col("id")), "file_path", "name"), _unique(taken, "file_path", "name")]
+    every = ranked[0].withColumn("rank", F.lit(0))
+    for rank in (1, 2):
+        every = every.unionByName(ranked[rank].withColumn("rank", F.lit(rank)))
+    return every.groupBy("file_path", "name").agg(F.min_by(F.struct("target", "rank"), "rank").alias("r")).select("file_path", "name", "r.*")
+
+
+def _receivers(found: DataFrame, bound: DataFrame, names: DataFrame) -> DataFrame:
+    """(file_path, receiver, file): the file whose symbols a receiver's members are; only where it is one."""
+    spaces = bound.where("kind = 'namespace'").select("file_path", F.col("name").alias("receiver"), F.col("file").alias("target"))
+    kinds = symbols(found).select(F.col("id").alias("target"), "kind", F.col("file_path").alias("file"))
+    things = names.join(kinds, "target").where((F.col("rank") == 0) | F.col("kind").isin(_TYPES)).select("file_path", F.col("name").alias("receiver"), F.col("file").alias("target"))
+    return _unique(spaces.unionByName(things), "file_path", "receiver").withColumnRenamed("target", "file")
+
+
 def call_edges(found: DataFrame, imports: DataFrame) -> DataFrame:
-    """CALLS and CONSTRUCTS edges (source, target, type): the enclosing symbol to the one local or, else, imported symbol of that name.
+    """CALLS and CONSTRUCTS edges (source, target, type): from the enclosing symbol to what the name stands for in the file.
 
-    ``imports`` is (source, target) of files. Ambiguous names and calls on themselves give nothing.
+    ``imports`` is (source, target) of files. A call with a receiver goes to the only symbol of that name in the file of what
+    the receiver names: a type, an imported name, an imported file or the object at hand. Variables' types are binding facts
+    and not known here. Ambiguous names and calls on themselves give nothing.
     """
     syms = symbols(found)
-    calls = found.where("fact = 'call' and kind in ('free', 'constructor')").select(F.col("path").alias("file_path"), "line", "name", F.when(F.col("kind") == "constructor", "CONSTRUCTS").otherwise("CALLS").alias("type")).distinct()
-    placed = enclosing(calls, syms.where("kind in ('function', 'method', 'class')")).where("enclosing_id is not null")
-    local = syms.select("file_path", "name", F.col("id").alias("target"), F.lit(0).alias("far"))
-    away = imports.select(F.col("source").alias("file_path"), F.col("target").alias("file")).join(syms.select(F.col("file_path").alias("file"), "name", F.col("id").alias("target")), "file").select("file_path", "name", "target", F.lit(1).alias("far"))
-    named = local.unionByName(away).groupBy("file_path", "name", "far").agg(F.min("target").alias("target"), F.max("target").alias("_hi")).where("target = _hi")
-    w = W.partitionBy("file_path", "name").orderBy("far")
-    first = named.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("file_path", "name", "target")
-    return placed.join(first, ["file_path", "name"]).where("enclosing_id <> target").select(F.col("enclosing_id").alias("source"), "target", "type").distinct()
+    calls = found.where("fact = 'call'").select(F.col("path").alias("file_path"), "line", "name", "receiver", F.when(F.col("kind") == "constructor", "CONSTRUCTS").otherwise("CALLS").alias("type")).distinct()
+    bound = _bound(found, imports)
+    names = _names(found, bound)
+    plain = calls.where("receiver is null").join(names.select("file_path", "name", "target"), ["file_path", "name"])
+    own = calls.where(F.col("receiver").isin(_OWN)).withColumn("file", F.col("file_path"))
+    other = calls.where(~F.col("receiver").isin(_OWN)).join(_receivers(found, bound, names), ["file_path", "receiver"])
+    members = _unique(syms.select(F.col("file_path").alias("file"), "name", F.col("id").alias("target")), "file", "name")
+    sent = own.unionByName(other.select(*own.columns)).join(members, ["file", "name"])
+    # few calls resolve: only those look for the symbol around them
+    every = plain.select("file_path", "line", "target", "type").unionByName(sent.select("file_path", "line", "target", "type")).distinct()
+    placed = enclosing(every, syms.where("kind in ('function', 'method', 'class')"))
+    return placed.where("enclosing_id <> target").select(F.col("enclosing_id").alias("source"), "target", "type").distinct()
+
+
+def base_edges(found: DataFrame, imports: DataFrame) -> DataFrame:
+    """EXTENDS and IMPLEMENTS edges (source, target, type) from a type to the type its base names in the file."""
+    syms, bound = symbols(found), _bound(found, imports)
+    names = _names(found, bound)
+    name = F.regexp_replace("target", r"\[[\s\S]*$", "")  # type arguments
+    base = found.where("fact = 'base'").select(F.col("path").alias("file_path"), F.col("name").alias("_own"), "line", F.col("column").alias("column_number"), F.col("kind").alias("type"), F.substring_index(name, ".", -1).alias("name"), F.when(name.contains("."), F.regexp_replace(name, r"\.[^.]*$", "")).alias("receiver"))
+    base = base.join(syms.select("file_path", F.col("name").alias("_own"), "line", "column_number", F.col("id").alias("source")), ["file_path", "_own", "line", "column_number"])
+    kinds = syms.where(F.col("kind").isin(_TYPES)).select(F.col("id").alias("target"))
+    plain = base.where("receiver is null").join(names, ["file_path", "name"]).select("source", "target", "type")
+    members = _unique(syms.where(F.col("kind").isin(_TYPES)).select(F.col("file_path").alias("file"), "name", F.col("id").alias("target")), "file", "name")
+    far = base.where("receiver is not null").join(_receivers(found, bound, names), ["file_path", "receiver"]).join(members, ["file", "name"]).select("source", "target", "type")
+    return plain.unionByName(far).join(kinds, "target", "left_semi").where("source <> target").select("source", "target", "type").distinct()

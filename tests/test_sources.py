@@ -124,3 +124,18 @@ def test_cache_and_freshness(spark):
     assert {tuple(x) for x in incremental.cached_results(now, old, "v1").collect()} == {("a", "hard", "A"), ("b", "soft", "B"), ("c", "miss", None), ("d", "miss", None)}
     assert not incremental.needs_rebuild(now, now) and incremental.needs_rebuild(now, now, True)
     assert incremental.needs_rebuild(now, now.limit(3)) and incremental.needs_rebuild(now, now.withColumn("stamp", F.col("stamp") + 1))
+
+
+def test_calls_and_bases_resolve_by_alias_receiver_and_base(spark):
+    rows = [
+        ("w:a.ts", "import { foo as bar, same } from './b'\nimport * as ns from './c'\nimport Def from './d'\nimport { Base } from './c'\nexport class A extends Base {\n  one(): void {\n    bar()\n    same()\n    ns.deep()\n    Def()\n    this.two()\n    Base.make()\n    this.ns.deep2()\n  }\n  two(): void {\n  }\n}\n"),
+        ("w:b.ts", "export function foo() { return 1 }\nexport function same() { return 1 }\n"),
+        ("w:c.ts", "export function same() { return 2 }\nexport function deep() { return 2 }\nexport function deep2() { return 2 }\nexport class Base {\n  static make(): void {\n  }\n}\n"),
+        ("w:d.ts", "export default function inner() { return 3 }\n"),
+    ]
+    table = spark.createDataFrame(rows, "path string, content string")
+    found = extract.analysed(table).cache()
+    imports = extract.import_edges(found, table)
+    short = lambda e: {(r["source"].split(":")[3], ":".join(r["target"].split(":")[1:4:2]), r["type"]) for r in e.collect()}
+    assert short(extract.call_edges(found, imports)) == {("one", x, "CALLS") for x in ("b.ts:foo", "b.ts:same", "c.ts:deep", "d.ts:inner", "a.ts:two", "c.ts:make")}
+    assert short(extract.base_edges(found, imports)) == {("A", "c.ts:Base", "EXTENDS")}

@@ -51,7 +51,11 @@ _DIVISION = r"(?<=[\w$)\]])(?<!return)(?<!typeof)(?<!case)(?<!\bin)(?<!\bof)(?<!
 _REGEX = r"/(?![*/])(?:[^\\/\[\n]++|\\[^\n]|\[(?:[^\]\\\n]++|\\[^\n])*+\])++/[A-Za-z]*"
 _JS_NUMBER = r"(?:0[xXbBoO][\da-fA-F_]++|(?:\d[\d_]*+(?:\.[\d_]*+)?|\.\d[\d_]*+)(?:[eE][+-]?\d++)?)n?(?![\w$])"
 _JS_OP = r">>>=|>>=|===|!==|\*\*=|&&=|\|\|=|\?\?=|<<=|\.\.\.|=>|==|!=|<=|>=|\*\*|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|<<|[-+*%&|^]=|[{}()\[\];,<>+\-*%&|^!~?:=.@]"
-JS_TOKEN = re.compile(rf"{_DIVISION}|#?(?:[^\W\d]|\$)[\w$]*+|[ \t\r\f\v\xa0\ufeff]+|\n\s*+|//[^\n]*+|/\*[\s\S]*?\*/|{_JS_OP}|{_SQ}|{_DQ}|{_JS_NUMBER}|{_TPL}|/\*|{_REGEX}|[\s\S]")
+_JS_PLAIN = rf"{_DIVISION}|#?(?:[^\W\d]|\$)[\w$]*+|[ \t\r\f\v\xa0\ufeff]+|\n\s*+|//[^\n]*+|/\*[\s\S]*?\*/|{_JS_OP}|{_SQ}|{_DQ}|{_JS_NUMBER}"
+JS_TOKEN = re.compile(rf"{_JS_PLAIN}|{_TPL}|/\*|{_REGEX}|[\s\S]")
+#: Without templates, whose holes nest as deep as they like: the pattern above knows those of small depth.
+_JS_FLAT = re.compile(rf"{_JS_PLAIN}|/\*|{_REGEX}|[\s\S]")
+_JS_IN_TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{")
 _JS_HOLES = re.compile(rf"\\[\s\S]|{_HOLE}")
 JS_OPS = {c: c for c in "{}()[];,<>*|&!~?:=.@"} | {"=>": "a", "...": "e", "?.": "q", "++": "p", "--": "p", "+": "m", "-": "m"}
 JS_OPS |= {c: "A" for c in ">>>= >>= **= &&= ||= ??= <<= += -= *= %= &= |= ^= /=".split()}
@@ -89,7 +93,50 @@ _JS = Kinds(_js_kind)
 def js_kinds(text: str) -> str:
     if text.startswith("#!"):
         text = "//" + text[2:]
-    return "".join(map(_JS.__getitem__, JS_TOKEN.findall(text)))
+    kinds = "".join(map(_JS.__getitem__, JS_TOKEN.findall(text)))
+    return _js_nested(text) if "X" in kinds and "`" in text else kinds
+
+
+def _js_nested(text: str) -> str:
+    """The kinds with templates read by an explicit stack; a template that does not end gives ``X``."""
+    out: list[str] = []
+    holes: list[bool] = []  # of each open template, whether it has a hole
+    braces: list[int] = []  # of each open hole, the braces open in it
+    at, inside = 0, False
+    while at < len(text):
+        if inside:
+            m = _JS_IN_TEMPLATE.search(text, at)
+            if not m:
+                break
+            at = m.end()
+            if m[0] == "`":
+                if holes.pop():
+                    out.append("T")
+                inside = False
+            elif m[0] == "${":
+                holes[-1] = True
+                out.append("h")
+                braces.append(0)
+                inside = False
+            continue
+        for m in _JS_FLAT.finditer(text, at):
+            token = m[0]
+            at = m.end()
+            if token == "`":
+                out.append("t")
+                holes.append(False)
+                inside = True
+                break
+            if braces and token == "}" and not braces[-1]:
+                braces.pop()
+                out.append("h")
+                inside = True
+                break
+            if braces and token in "{}":
+                braces[-1] += 1 if token == "{" else -1
+            kind = _JS[token]
+            out.append(kind.replace("n", "") if braces else kind)
+    return "".join(out) + ("X" if holes else "")
 
 
 # ---------------------------------------------------------------------------------------------------------------- Go

@@ -20,30 +20,158 @@ from pyspark.sql import functions as F
 
 from quern.llm import grammar_go, grammar_js, grammar_php
 from quern.llm.lexer_states import chunk_map, compose, settle
+from quern.llm.lexing import _DIVISION, _DQ, _REGEX, _SQ
 
 # The language of each extension.
 LANGUAGES = {"ts": "ts", "tsx": "ts", "mts": "ts", "cts": "ts", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "py": "py", "pyi": "py", "go": "go", "php": "php"}
 #: Files longer than this are cut into chunks of about this many characters.
 CHUNK = 16_384
-_ATTRS = r"(?:\s+[\w:.-]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|\{(?:[^{}]|\{[^{}]*\})*\}))?|\s*\{\s*\.\.\.(?:[^{}]|\{[^{}]*\})*\})*\s*"
-_CHILD = r"(?:[^<>{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*"
-_JSX = re.compile(rf"<([A-Za-z][\w.:-]*){_ATTRS}/>|<([A-Za-z][\w.:-]*)?{_ATTRS}>{_CHILD}</\2\s*>|<>{_CHILD}</>")
-_BRACED = re.compile(r"\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}")
+_CODE = re.compile(rf"{_DIVISION}|//[^\n]*+|/\*[\s\S]*?\*/|{_SQ}|{_DQ}|`|{_REGEX}|[{{}}]|<(?=[A-Za-z_$>])")
+_TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{")
+_OPEN = re.compile(r"<([A-Za-z_$][\w.:$-]*)?")
+_TAG = re.compile(r"\s+|/\*[\s\S]*?\*/|//[^\n]*|(/>|>|\{)|[A-Za-z_$][\w:.$-]*(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|(\{|(?=<))))?")
+_CHILD = re.compile(r"[^<>{}]+|\{|</\s*([\w.:$-]*)\s*>|<")
+_SPREAD = re.compile(r"^\s*\.\.\.")
+_COMMENTS = re.compile(r"\s+|/\*[\s\S]*?\*/|//[^\n]*")
+# Words after which an expression begins.
+_BEFORE = {"return", "default", "case", "typeof", "yield", "await", "else", "do", "in", "of", "void", "delete", "throw"}
+_LAST_WORD = re.compile(r"[\w$]")
 
 
-def _element(m: re.Match) -> str:
-    """An element as a list of the expressions in its braces."""
-    inner = [re.sub(r"^\s*\.\.\.", "", re.sub(r"/\*[\s\S]*?\*/", "", x)).strip() for x in _BRACED.findall(m[0])]
-    return "(0" + "".join(f",({x})" for x in inner if x) + ")"
+class _Code:
+    """Code outside of markup, in its braces (``jsx``) or in a hole of a template (``hole``)."""
+
+    def __init__(self, kind: str):
+        self.kind, self.out, self.depth = kind, [], 0
+
+
+class _Template:
+    def __init__(self):
+        self.out = ["`"]
+
+
+class _Element:
+    def __init__(self, start: int, name: str):
+        self.start, self.name, self.parts, self.tag = start, name, [], True
+
+
+def _starts_expression(text: str, at: int, comments: dict[int, int]) -> bool:
+    """Whether an operand, not an operator, is due at ``at``."""
+    while at > 0:
+        if text[at - 1].isspace():
+            at -= 1
+        elif at in comments:
+            at = comments[at]
+        else:
+            break
+    if not at:
+        return True
+    if not _LAST_WORD.match(text[at - 1]):
+        return text[at - 1] not in ")]'\"`"
+    end = at
+    while at > 0 and _LAST_WORD.match(text[at - 1]):
+        at -= 1
+    return text[at:end] in _BEFORE and (not at or text[at - 1] != ".")
 
 
 def without_elements(text: str) -> str:
-    """Markup elements, innermost first, replaced by expressions."""
+    """Markup elements replaced by lists of the expressions in them; an explicit stack, so of any depth.
+
+    What begins like an element and is none (type parameters, say) stays as it is.
+    """
+    stack: list = [_Code("top")]
+    comments: dict[int, int] = {}
+    plain: set[int] = set()
+    at = 0
     while True:
-        new = _JSX.sub(_element, text)
-        if new == text:
-            return new
-        text = new
+        top = stack[-1]
+        failed = False
+        if isinstance(top, _Code):
+            m = _CODE.search(text, at)
+            if not m:
+                top.out.append(text[at:])
+                at = len(text)
+                failed = len(stack) > 1
+                if not failed:
+                    return "".join(top.out)
+            else:
+                top.out.append(text[at : m.start()])
+                t, at = m[0], m.end()
+                if t == "`":
+                    stack.append(_Template())
+                elif t == "<" and m.start() not in plain and _starts_expression(text, m.start(), comments):
+                    name = _OPEN.match(text, m.start())
+                    stack.append(_Element(m.start(), name[1] or ""))
+                    at = name.end()
+                elif t == "}" and not top.depth and top.kind != "top":
+                    stack.pop()
+                    inner = "".join(top.out)
+                    if top.kind == "hole":
+                        stack[-1].out.append("${" + inner + "}")
+                    elif _COMMENTS.sub("", inner):
+                        stack[-1].parts.append(_SPREAD.sub("", inner) + "\n")
+                else:
+                    if t in "{}":
+                        top.depth += 1 if t == "{" else -1
+                    elif t[:2] in ("//", "/*"):
+                        comments[m.end()] = m.start()
+                    top.out.append(t)
+        elif isinstance(top, _Template):
+            m = _TEMPLATE.search(text, at)
+            if not m:
+                top.out.append(text[at:])
+                at = len(text)
+                stack.pop()
+                stack[-1].out.append("".join(top.out))
+                continue
+            top.out.append(text[at : m.start()])
+            at = m.end()
+            if m[0] == "${":
+                stack.append(_Code("hole"))
+            else:
+                top.out.append(m[0])
+                if m[0] == "`":
+                    stack.pop()
+                    stack[-1].out.append("".join(top.out))
+        else:
+            m = (_TAG if top.tag else _CHILD).match(text, at)
+            closed = False
+            if not m:
+                failed = True
+            elif top.tag:
+                at = m.end()
+                if m[1] == "{" or m[2] == "{":
+                    stack.append(_Code("jsx"))
+                elif m[2] is not None:
+                    name = _OPEN.match(text, at)
+                    stack.append(_Element(at, name[1] or ""))
+                    at = name.end()
+                elif m[1] == ">":
+                    top.tag = False
+                elif m[1] == "/>":
+                    closed, failed = bool(top.name), not top.name
+            else:
+                at = m.end()
+                if m[0] == "{":
+                    stack.append(_Code("jsx"))
+                elif m[0] == "<":
+                    name = _OPEN.match(text, at - 1)
+                    stack.append(_Element(at - 1, name[1] or ""))
+                    at = name.end()
+                elif m[0][0] == "<":
+                    closed, failed = m[1] == top.name, m[1] != top.name
+            if closed:
+                stack.pop()
+                whole = "(0" + "".join(f",({x})" for x in top.parts) + ")"
+                (stack[-1].out if isinstance(stack[-1], _Code) else stack[-1].parts).append(whole)
+        if failed:
+            # the nearest element that begins in code is none
+            while len(stack) > 1 and not (isinstance(stack[-1], _Element) and isinstance(stack[-2], _Code)):
+                stack.pop()
+            if len(stack) == 1:
+                return text
+            at = stack.pop().start
+            plain.add(at)
 
 
 def is_valid(text: str, lang: str, markup: bool = False) -> bool:

@@ -114,3 +114,24 @@ def test_forest_finds_held_out_notices(spark, small):
     out = generated.classify(spark.read.parquet(f"{small}/files.parquet"))
     row = out.where("score is not null").agg(F.avg(F.when(F.col("literal"), F.col("score"))).alias("data"), F.avg(F.when(~F.col("says") & ~F.col("literal"), F.col("score"))).alias("rest")).first()
     assert row["data"] > 0.7 and row["rest"] < 0.3
+
+
+@pytest.mark.parametrize(
+    ("ext", "text", "ok"),
+    [
+        ("jsx", "const A = () => <b onClick={() => { if (a) { f() } }}>x</b>\n", True),
+        ("tsx", "const A = () => <ul>{xs.map((x) => { if (x) { return { a: { b: { c: <li {...{ d: { e: 1 } }}>{x /* } */}</li> } } } } })}</ul>\n", True),
+        ("tsx", "const f = <T,>(a: T) => a\nconst g = <T extends B>(a: T) => <p>{a}</p>\n", True),
+        ("js", "const A = () => (\n  // it's a note\n  <><i a='}' b={`{${<u/>}`}/> it's {/* c */} text</>\n)\n", True),
+        ("jsx", "const A = () => <b onClick={() => { if (a) { f( } }}>x</b>\n", False),
+        ("jsx", "const A = () => <p><b>{a b}</b></p>\n", False),
+        ("jsx", "const A = () => <p><b></p>\n", False),
+        ("js", "const t = `${xs.map(x => { if (x) { return g({a: 1}) } })}`\n", True),
+        ("ts", "const t = " + "`a ${f({ b: " * 40 + "1" + " })} c`" * 40 + "\n", True),
+        ("js", "const t = `${xs.map(x => { if (x) { return g({a: 1}) } })`\n", False),
+        ("ts", "const t = " + "`a ${f({ b: " * 40 + "1 2" + " })} c`" * 40 + "\n", False),
+        ("jsx", "const A = () => " + "<p>{f(() => { " * 60 + "1" + " })}</p>" * 60 + "\n", True),
+    ],
+)
+def test_nesting_of_templates_and_markup_has_no_depth(ext, text, ok):
+    assert validity.is_valid(text, validity.LANGUAGES[ext], ext in ("jsx", "tsx", "js")) == ok

@@ -2,7 +2,7 @@
 
 Short files are lexed, their brackets matched and their balanced statements parsed by local grammars where they lie.
 Files longer than a chunk are cut at line ends; the chunks, spread over the cluster, become lexer-state maps
-(:mod:`quern.llm.lexer_states`) that are composed per file; what the maps cannot refute is then parsed.
+(:mod:`quern.llm.lexer_states`) that are composed per file; the grammar, which reads the whole text, has the last word.
 Python's statements are parsed by the interpreter's own grammar (``ast``).
 """
 
@@ -188,7 +188,7 @@ def is_valid(text: str, lang: str, markup: bool = False) -> bool:
         except (SyntaxError, ValueError):
             return False
         except (RecursionError, MemoryError):
-            return True
+            return settle("py", chunk_map("py", text)) is not False
         return True
     try:
         if lang == "go":
@@ -250,7 +250,7 @@ def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
     while len(maps) > 1:
         maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
     ok = settle(head["lang"], maps[0])
-    if ok is None or not ok and _markup(head["ext"]):  # text between markup elements may hold any brackets and quotes
+    if not ok:  # the maps know neither markup nor quotes nested in f-strings: the grammar has the last word at any size
         ok = is_valid("".join(pdf["chunk"]), head["lang"], _markup(head["ext"]))
     return pd.DataFrame([(head["path"], head["workspace"], head["lang"], head["version"], head["at"], ok)], columns=["path", "workspace", "lang", "version", "at", "valid"])
 

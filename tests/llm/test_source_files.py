@@ -135,3 +135,17 @@ def test_forest_finds_held_out_notices(spark, small):
 )
 def test_nesting_of_templates_and_markup_has_no_depth(ext, text, ok):
     assert validity.is_valid(text, validity.LANGUAGES[ext], ext in ("jsx", "tsx", "js")) == ok
+
+
+def test_long_files_are_judged_as_short_ones(spark):
+    line = 'x = f"{d.get("(")}"\n'
+    rows = [("short.py", line), ("long.py", line * 1000), ("broken.py", line * 1000 + "f(\n")]
+    assert dict(validity.verdicts(spark.createDataFrame(rows, "path string, content string")).select("path", "valid").collect()) == {"short.py": True, "long.py": True, "broken.py": False}
+
+
+def test_python_beyond_the_interpreter_still_needs_its_brackets(monkeypatch):
+    def deep(text):
+        raise RecursionError
+
+    monkeypatch.setattr(validity.ast, "parse", deep)
+    assert validity.is_valid("f(1)\n", "py") and not validity.is_valid("f(1\n", "py")

@@ -40,7 +40,7 @@ NOTICES = [
     r"\bupstream\s+copy\b", r"\bvendored\s+(?:from|copy)\b", r"\bcopied\s+(?:verbatim\s+)?from\s+(?:the\s+)?[\w./@-]+", r"\bsee\s+upstream\b", r"\(c\)\s+(?:\d{4}[\d, -]*)?(?:the\s+)?[\w.-]+\s+contributors\b", r"@license\s+\S+\s+\S*\d", r"^\s*!\s*\S+\s+v\d+\.\d+", r"\btaken\s+(?:verbatim\s+)?from\s+(?:the\s+)?[\w./@-]+\s+(?:project|library|package)", r"\bv\d+\.\d+\S*\s+-\s+\w+\s+licensed\b",
 ]
 NOTICE = re.compile("|".join(f"(?:{n})" for n in NOTICES), re.IGNORECASE | re.MULTILINE)
-MAP_LINE = re.compile(r"^\s*(?://|/\*)[#@]\s*sourceMappingURL=", re.MULTILINE)
+MAP_LINE = re.compile(r"^[^\S\n]*+(?://|/\*)[#@]\s*sourceMappingURL=", re.MULTILINE)
 
 _HEAD = re.compile(r"\A﻿?(?:#![^\n]*\n)?(?:\s*(?:<\?php\b|//[^\n]*|#[^\n]*|/\*[\s\S]*?\*/|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|['\"]use strict['\"];?|declare\(strict_types=1\);))+")
 _COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/|^[ \t]*#[^\n]*|\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''", re.MULTILINE)
@@ -53,12 +53,12 @@ FEATURES = ["log_chars", "ratio", "entropy", "char_entropy", "ident_mean", "iden
 
 def notice_in_header(text: str) -> bool:
     """Whether the comments before the first code say the file is generated, minified or taken over; a source map line counts too."""
-    head = _HEAD.match(text[:20_000])
+    head = _HEAD.match(text)
     if head:
         said = _INSIDE.sub(lambda m: "!" if "!" in m[0] else " ", re.sub(r"^[ \t]*(?://+|#+|\*+|/\*+)", lambda m: "!" if m[0].endswith("!") else "", head[0], flags=re.MULTILINE))
         if NOTICE.search(said) or re.search(r"/\*!\s*\S+\s+v?\d+\.\d+", head[0]):
             return True
-    return bool(MAP_LINE.search(text[-300:]))
+    return bool(MAP_LINE.search(text))
 
 
 def is_one_literal(text: str) -> bool:

@@ -149,3 +149,10 @@ def test_python_beyond_the_interpreter_still_needs_its_brackets(monkeypatch):
 
     monkeypatch.setattr(validity.ast, "parse", deep)
     assert validity.is_valid("f(1)\n", "py") and not validity.is_valid("f(1\n", "py")
+
+
+def test_notices_are_read_to_their_end():
+    line = "//# sourceMappingURL=data:application/json;base64,"
+    assert generated.notice_in_header("f()\n" + line + "A" * 5000 + "\n")
+    assert generated.notice_in_header("/*\n" + " * words\n" * 4000 + " * Code generated by x. DO NOT EDIT.\n */\nf()\n")
+    assert not generated.notice_in_header("/*\n" + " * words\n" * 4000 + " */\nf()\n")

@@ -168,7 +168,7 @@ def symbols(found: DataFrame) -> DataFrame:
 
 def _tried(found: DataFrame) -> DataFrame:
     """(source, target, n, candidate): the paths an import could mean, in order."""
-    rel = found.where("fact = 'import' and target like '.%'").select("path", "target").distinct()
+    rel = found.where("fact = 'import' and (target like '.%' or kind = 'require' and lower(path) like '%.php' and target not like '/%')").select("path", "target").distinct()
     python = F.col("path").rlike(r"\.pyi?$")
     dots = F.length(F.regexp_extract("target", r"^(\.+)", 1))
     body = F.regexp_replace("target", r"^\.+", "")
@@ -183,7 +183,7 @@ def _tried(found: DataFrame) -> DataFrame:
 
 
 def import_edges(found: DataFrame, paths: DataFrame) -> DataFrame:
-    """IMPORTS edges (source, target): relative specifiers against the importing file, endings tried in order, the first that exists wins."""
+    """IMPORTS edges (source, target): relative specifiers, and files that PHP requires, against the importing file, endings tried in order, the first that exists wins."""
     met = _tried(found).join(paths.select(F.col("path").alias("candidate")).distinct(), "candidate")
     return met.groupBy("source", "target").agg(F.min_by("candidate", "n").alias("found")).select("source", F.col("found").alias("target")).distinct()
 

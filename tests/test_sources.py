@@ -139,3 +139,12 @@ def test_calls_and_bases_resolve_by_alias_receiver_and_base(spark):
     short = lambda e: {(r["source"].split(":")[3], ":".join(r["target"].split(":")[1:4:2]), r["type"]) for r in e.collect()}
     assert short(extract.call_edges(found, imports)) == {("one", x, "CALLS") for x in ("b.ts:foo", "b.ts:same", "c.ts:deep", "d.ts:inner", "a.ts:two", "c.ts:make")}
     assert short(extract.base_edges(found, imports)) == {("A", "c.ts:Base", "EXTENDS")}
+
+
+def test_php_requires_resolve_against_the_file(spark):
+    rows = [("w:p/a.php", "<?php\nrequire_once 'lib/x.php';\nrequire './y.php';\nrequire '/abs.php';\nfunction m() {\n  h();\n}\n"), ("w:p/lib/x.php", "<?php\nfunction h() {}\n"), ("w:p/y.php", "<?php\n"), ("w:abs.php", "<?php\n")]
+    table = spark.createDataFrame(rows, "path string, content string")
+    found = extract.analysed(table).cache()
+    imports = extract.import_edges(found, table)
+    assert {tuple(r) for r in imports.collect()} == {("w:p/a.php", "w:p/lib/x.php"), ("w:p/a.php", "w:p/y.php")}
+    assert [(r["source"].split(":")[3], r["target"].split(":")[3]) for r in extract.call_edges(found, imports).collect()] == [("m", "h")]

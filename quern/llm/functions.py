@@ -9,8 +9,8 @@ marks, tags, directives, placeholders, notices, decoration, disabled code and th
 from __future__ import annotations
 
 import ast
+import bisect
 import re
-import sys
 import warnings
 
 import pandas as pd
@@ -156,7 +156,11 @@ def _python_nodes(text: str):
 
     with warnings.catch_warnings():
         warnings.simplefilter("ignore")
-        tree = ast.parse(text)
+        try:
+            tree = ast.parse(text)
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            yield from _python_blocks(rows, starts)
+            return
     for node in ast.walk(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
@@ -164,6 +168,33 @@ def _python_nodes(text: str):
             yield node.name, node.lineno, start, offset(node.end_lineno, node.end_col_offset)
 
 
+_DEF = re.compile(r"([ \t]*)(?:async[ \t]+)?def[ \t]+([^\W\d]\w*)[ \t]*[(\[]")
+
+
+def _python_blocks(rows: list[str], starts: list[int]):
+    """Functions of a text that does not parse as a whole: each lasts until its indentation ends."""
+    open_defs: list[tuple[int, str, int]] = []  # (indentation, name, row)
+    last, depth = 0, 0
+    ended = lambda row, name: (name, row + 1, starts[row] + len(rows[row]) - len(rows[row].lstrip()), starts[last] + len(rows[last].rstrip()))
+    for k, row in enumerate(rows):
+        if not row.strip():
+            continue
+        indent = len(row) - len(row.lstrip())
+        m = _DEF.match(row)
+        if m or depth <= 0 and row.lstrip()[0] not in ")]}#":
+            while open_defs and open_defs[-1][0] >= indent:
+                _, name, at = open_defs.pop()
+                yield ended(at, name)
+            depth = 0
+        if m:
+            open_defs.append((indent, m[2], k))
+        if m or depth > 0:  # a header may go on over lines
+            depth += sum(map(row.count, "([{")) - sum(map(row.count, ")]}"))
+        last = k
+    for _, name, at in reversed(open_defs):
+        yield ended(at, name)
+
+
 _LEX = {"js": (lx.JS_TOKEN, lx._JS), "ts": (lx.JS_TOKEN, lx._JS), "go": (lx.GO_TOKEN, lx._GO), "php": (lx.PHP_TOKEN, lx._PHP)}
 _J, _G, _P = lx.JS_WORDS, lx.GO_WORDS, lx.PHP_WORDS
 _NAME = "i" + "".join(_J[w] for w in lx.JS_CONTEXTUAL.split())
@@ -188,16 +219,15 @@ def _brace_nodes(text: str, lang: str):
     s = "".join(kinds)
     match: dict[int, int] = {}
     stack: list[int] = []
-    parent: dict[int, int] = {}  # the brace a brace lies in
     for m in re.finditer(r"[(){}\[\]]", s):
         i, c = m.start(), s[m.start()]
         if c in "([{":
-            parent[i] = next((j for j in reversed(stack) if s[j] == "{"), -1) if c == "{" else -1
             stack.append(i)
-        elif stack and s[stack[-1]] == _CLOSERS[c]:
-            match[stack.pop()] = i
-        else:
-            break  # brackets do not match from here on
+        elif _CLOSERS[c] in (left := [s[j] for j in stack[-8:]]):
+            # a bracket left open inside a closed one ends with it; a closing one without a partner closes nothing
+            for _ in range(left[::-1].index(_CLOSERS[c]) + 1):
+                match[stack.pop()] = i
+    match |= dict.fromkeys(stack, len(s) - 1)  # cut off: to the end of the text
     found: list[tuple[int, int]] = []  # token of the name, token of the end
     if lang in ("js", "ts"):
         classes = _class_bodies(s, match)
@@ -208,9 +238,9 @@ def _brace_nodes(text: str, lang: str):
             if end is not None:
                 found.append((m.start(1), end))
         if classes:
-            inside = _holder(s, match)
-            for m in _JS_METHOD.finditer(s):
-                if inside(m.start(1)) in classes and s[m.start(1) - 1] not in ".=(,:?":
+            names = [m for m in _JS_METHOD.finditer(s) if s[m.start(1) - 1] not in ".=(,:?"]
+            for m, holder in zip(names, _holders([m.start(1) for m in names], match), strict=True):
+                if holder in classes:
                     end = _body(s, match, m.end(1), declared=True)
                     if end is not None:
                         found.append((m.start(1), end))
@@ -224,8 +254,6 @@ def _brace_nodes(text: str, lang: str):
     if not found:
         return
     breaks = [m.start() for m in re.finditer("\n", text)]
-    import bisect
-
     for at, end in found:
         if end is None or end >= len(spans):
             continue
@@ -237,34 +265,38 @@ def _brace_nodes(text: str, lang: str):
 
 
 def _class_bodies(s: str, match: dict[int, int]) -> set[int]:
+    """The braces that hold the members of a class or interface: the first after its head that is no object type or argument."""
     out = set()
     for m in re.finditer(_J["class"] + "|" + _J["interface"], s):
-        i = s.find("{", m.end())
-        if i >= 0 and i in match and not re.search(r"[;)}]", s[m.end() : i].replace("()", "")):
-            out.add(i)
+        i = m.end()
+        while i < len(s):
+            c = s[i]
+            if c == "{" and s[i - 1] not in "<,|&:":
+                out.add(i)
+                break
+            if c in "([{":
+                i = match.get(i, len(s))
+            elif c in ";)]}":
+                break
+            i += 1
+    return out & match.keys()
+
+
+def _holders(places: list[int], match: dict[int, int]) -> list[int]:
+    """For each of the ascending places the innermost matched bracket around it, or -1; one pass over both."""
+    opens, out, stack, k = sorted(match), [], [], 0
+    for at in places:
+        while k < len(opens) and opens[k] < at:
+            while stack and match[stack[-1]] < opens[k]:
+                stack.pop()
+            stack.append(opens[k])
+            k += 1
+        while stack and match[stack[-1]] < at:
+            stack.pop()
+        out.append(stack[-1] if stack else -1)
     return out
 
 
-def _holder(s: str, match: dict[int, int]):
-    """A function from a token to the bracket it lies directly in."""
-    opens = sorted(match)
-    import bisect
-
-    def of(i: int) -> int:
-        k = bisect.bisect_left(opens, i) - 1
-        steps = 0
-        while k >= 0:
-            if match[opens[k]] > i:
-                return opens[k]
-            k -= 1
-            steps += 1
-            if steps > 20_000:
-                return -1
-        return -1
-
-    return of
-
-
 def _body(s: str, match: dict[int, int], at: int, declared: bool = False):
     """The token that ends a function whose parameters (after type parameters) begin at ``at``."""
     if at < len(s) and s[at] in "<[":
@@ -330,18 +362,14 @@ def _value(s: str, match: dict[int, int], at: int):
 def function_nodes(text: str, lang: str) -> list[tuple[str, int, int, int]]:
     """(name, line from 1, start, end) of each function and method; offsets are characters of the text.
 
-    Python files must parse as a whole; in the brace languages functions are found up to the first bracket that
-    does not match.
+    A text that does not parse still gives the functions that can be told: in Python by indentation, in the brace
+    languages with brackets left open closed by the next that fits.
     """
-    try:
-        return list(_python_nodes(text) if lang == "py" else _brace_nodes(text, lang))
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return []
+    return list(_python_nodes(text) if lang == "py" else _brace_nodes(text, lang))
 
 
 def _nodes(with_code: bool):
     def run(batches):
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
         for pdf in batches:
             rows = []
             for path, lang, text in zip(pdf["path"], pdf["lang"], pdf["content"], strict=True):
@@ -356,9 +384,7 @@ def _nodes(with_code: bool):
 
 def nodes(files: DataFrame, with_code: bool = True) -> DataFrame:
     """Function nodes of all files with a known language: path, line, name, lang, start, end, code; one per path, line and name."""
-    ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1))
-    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    src = files.where("path is not null and content is not null").select("path", known[ext].alias("lang"), "content").where("lang is not null")
+    src = files.where("path is not null and content is not null").select("path", _lang("path").alias("lang"), "content").where("lang is not null")
     out = src.mapInPandas(_nodes(with_code), "path string, line int, name string, lang string, start int, end int, code string")
     return out.dropDuplicates(["path", "line", "name"])
 
@@ -369,18 +395,23 @@ def _described(comment: pd.Series, name: pd.Series, lang: pd.Series) -> pd.Serie
     return pd.Series([describe(none(c), none(n), none(k)) for c, n, k in zip(comment, name, lang, strict=True)], dtype="object")
 
 
-def documented(symbols: DataFrame, files: DataFrame, with_code: bool = True) -> DataFrame:
-    """One row per described function or method: symbol_id, name, kind, description, file_path, line, start, end, code.
+def _lang(path: str):
+    known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return known[F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))]
+
+
+def documented(symbols: DataFrame, files: DataFrame, with_code: bool = True, without_node: bool = False) -> DataFrame:
+    """One row per function node met by a described symbol: symbol_id, name, kind, description, file_path, line, start, end, code.
 
-    Kinds are compared without case and surrounding blanks; repeated ids count once. Range and code are null where the
-    file is absent, has no text or no such declaration at that line; the description needs neither. Null ids, and
-    symbols whose comment is null, blank or says nothing, are left out; empty tables give an empty result; other
-    columns are ignored.
+    Kinds are compared without case and surrounding blanks; repeated ids count once. Null ids, symbols that no node of
+    their file meets at their line and by their name, and symbols whose comment is null, blank or says nothing are left
+    out. ``without_node`` adds the described symbols whose file is absent, has no text or does not parse up to them,
+    with null start, end and code. Empty tables give an empty result; other columns are ignored.
     """
     kind = F.lower(F.regexp_replace("kind", r"^\s+|\s+$", ""))
     own = symbols.where(F.col("id").isNotNull() & kind.isin("function", "method") & F.col("comment").isNotNull())
     own = own.groupBy(F.col("id").alias("symbol_id")).agg(F.min(F.struct(F.col("name").alias("symbol_name"), kind.alias("kind"), "comment", "file_path", F.col("line").alias("at"))).alias("s")).select("symbol_id", "s.*")
     found = nodes(files, with_code)
-    met = own.join(found, (own.file_path == found.path) & (own["at"] == found.line) & (own.symbol_name == found.name), "left")
-    out = met.select("symbol_id", F.col("symbol_name").alias("name"), "kind", _described("comment", "symbol_name", "lang").alias("description"), "file_path", F.col("at").alias("line"), "start", "end", "code")
+    met = own.join(found, (own.file_path == found.path) & (own["at"] == found.line) & (own.symbol_name == found.name), "left" if without_node else "inner")
+    out = met.select("symbol_id", F.col("symbol_name").alias("name"), "kind", _described("comment", "symbol_name", _lang("file_path")).alias("description"), "file_path", F.col("at").alias("line"), "start", "end", "code")
     return out.where("description is not null")

@@ -25,6 +25,7 @@ class Parser:
                     flat.append(c)
             text = "".join(flat)
         self.s, self.lines, self.p, self.roles = text + "\0", lines, 0, []
+        self.failed: set = set()  # what was attempted in vain, where and in which mode: backtracking never repeats it
 
     @property
     def c(self) -> str:
@@ -53,14 +54,23 @@ class Parser:
         self.need("G")
         self.roles.append(role)
 
+    def mode(self):
+        """What, besides the place, a rule's success depends on."""
+        return None
+
     def attempt(self, rule) -> bool:
         at, n = self.p, len(self.roles)
+        key = (at, getattr(rule, "__func__", None), self.mode())
+        if key in self.failed:
+            return False
         try:
             rule()
             return True
         except Bad:
             self.p = at
             del self.roles[n:]
+            if key[1] is not None:
+                self.failed.add(key)
             return False
 
 

@@ -15,6 +15,10 @@ class Go(Parser):
     def __init__(self, text: str):
         super().__init__(text)
         self.header = False  # a brace after an operand opens the block, not a literal
+        self.no_type: set[int] = set()  # brackets known to begin no type: each is tried once
+
+    def mode(self):
+        return self.header
 
     def statements(self) -> None:
         while not self.end:
@@ -335,9 +339,16 @@ class Go(Parser):
             self.p += 1
             self.group("interface")
         elif c == "(":
+            at = self.p
+            if at in self.no_type:
+                raise Bad
             self.p += 1
-            self.type()
-            self.need(")")
+            try:
+                self.type()
+                self.need(")")
+            except Bad:
+                self.no_type.add(at)
+                raise
         else:
             raise Bad
 

@@ -29,6 +29,9 @@ class JS(Parser):
         super().__init__(text)
         self.ts, self.target, self.no_in = ts, False, False
 
+    def mode(self):
+        return self.no_in
+
     # ------------------------------------------------------------------------------------------------- statements
     def close(self) -> None:
         """A semicolon, a line end or the end."""

@@ -16,7 +16,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return functions.documented(load(spark, folder, "symbols"), load(spark, folder, "files"), with_code=False).select("symbol_id")
+    return functions.documented(load(spark, folder, "symbols"), load(spark, folder, "files"), with_code=False, without_node=True).select("symbol_id")
 
 
 def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:

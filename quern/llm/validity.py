@@ -24,6 +24,8 @@ from quern.llm.lexing import _DIVISION, _DQ, _REGEX, _SQ
 
 # The language of each extension.
 LANGUAGES = {"ts": "ts", "tsx": "ts", "mts": "ts", "cts": "ts", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "py": "py", "pyi": "py", "go": "go", "php": "php"}
+#: Frames that the rules of the local grammars take for a token at most.
+FRAMES = 64
 #: Files longer than this are cut into chunks of about this many characters.
 CHUNK = 16_384
 _CODE = re.compile(rf"{_DIVISION}|//[^\n]*+|/\*[\s\S]*?\*/|{_SQ}|{_DQ}|`|{_REGEX}|[{{}}]|<(?=[A-Za-z_$>])")
@@ -175,30 +177,44 @@ def without_elements(text: str) -> str:
 
 
 def is_valid(text: str, lang: str, markup: bool = False) -> bool:
-    """Whether the whole text is a sentence of the language. Nesting beyond the interpreter's depth counts as valid if its brackets match."""
+    """Whether the whole text is a sentence of the language.
+
+    The local grammars nest as deep as the text does: a rule takes a few frames a token, and the interpreter keeps frames
+    of Python functions on its heap. Python's own parser ends at a fixed depth of its stack, which brackets cannot
+    reach (it refuses more than 200 of them), but some thousands of ``elif`` or ``not`` in a row can; such a text counts
+    as valid if its brackets match.
+    """
     if text.startswith("\ufeff"):
         text = text[1:]
-    if lang == "php":
-        return grammar_php.valid(text)
-    if not text.strip():
+    if lang != "php" and not text.strip():
         return True
     if lang == "py":
-        try:
-            ast.parse(text)
-        except (SyntaxError, ValueError):
-            return False
-        except (RecursionError, MemoryError):
-            return settle("py", chunk_map("py", text)) is not False
-        return True
+        return _python(text)
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, min(2**31 - 1, 10_000 + FRAMES * len(text))))
     try:
+        if lang == "php":
+            return grammar_php.valid(text)
         if lang == "go":
             return grammar_go.valid(text)
         ok = grammar_js.valid(text, lang == "ts")
         if not ok and markup and re.search(r"<[A-Za-z>]", text) and "</" in text + text.replace("/>", "</"):
             ok = grammar_js.valid(without_elements(text), lang == "ts")
         return ok
-    except RecursionError:
+    finally:
+        sys.setrecursionlimit(before)
+
+
+def _python(text: str) -> bool:
+    try:
+        ast.parse(text)
+    except (SyntaxError, ValueError):
+        return False
+    except RecursionError:  # raised where the tree of a text already parsed is built
         return True
+    except MemoryError:
+        return settle("py", chunk_map("py", text)) is not False
+    return True
 
 
 def chunks_of(text: str, most: int) -> list[str]:
@@ -219,7 +235,6 @@ def _markup(ext: str) -> bool:
 
 
 def _judge(batches):
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
     warnings.simplefilter("ignore")
     for pdf in batches:
         pdf["valid"] = [None if lang is None or text is None else is_valid(text, lang, _markup(ext)) for text, lang, ext in zip(pdf["content"], pdf["lang"], pdf["ext"], strict=True)]
@@ -242,7 +257,6 @@ def _summarise(batches):
 
 
 def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
-    sys.setrecursionlimit(max(sys.getrecursionlimit(), 6000))
     warnings.simplefilter("ignore")
     pdf = pdf.drop_duplicates("seq").sort_values("seq")  # repeated rows of a file bring each chunk again
     head = pdf.iloc[0]

@@ -8,6 +8,7 @@ Edges are reduced to two columns and content never enters a join.
 from __future__ import annotations
 
 import itertools
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -157,60 +158,116 @@ def imported_file_symbols(symbols: DataFrame, relations: DataFrame, files: DataF
     local = both.join(where, "a").join(symbols.select(F.col("id").alias("b"), F.col("file_path").alias("fb")), "b").where("fa = fb").select("a", "b")
     seeds = touching.select(F.struct("root", "depth", "path").alias("root"), "id")
     # a closure inside one file: at most as many levels as the longest chain, so walk until nothing is new
-    closed = seeds.unionByName(walk(local, seeds, 1 << 16).select("root", "id")).select("root.root", "root.depth", "id")
+    closed = seeds.unionByName(walk(local, seeds, None).select("root", "id")).select("root.root", "root.depth", "id")
     bare = files.join(touching.select("root", "depth", "path").distinct(), ["root", "depth", "path"], "left_anti")
     exported = relations.where("type = 'EXPORTS'").select(F.col("source").alias("path"), F.col("target").alias("id"))
     return closed.unionByName(bare.join(exported, "path").join(symbols.select("id"), "id", "left_semi").select("root", "depth", "id")).groupBy("root", "id").agg(F.min("depth").alias("depth")).select("root", "id", "depth")
 
 
-def impact(symbols: DataFrame, relations: DataFrame, targets: DataFrame, direction: str = "upstream", depth: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Impact of each target symbol (``targets`` is (id)): summary, affected symbols, affected files.
+class Impact:
+    """Impact of each target symbol (``targets`` is (id)); what is asked for is walked, and walked once.
 
     Symbols and files are walked apart; each depth counts the larger of the two. In both directions an id reached both
     ways keeps its upstream depth, while counts by depth take each way's own.
     """
-    scratch = Scratch(symbols.sparkSession, "impact")
-    symbols = scratch.put(symbols.select("id", "name", "file_path", "line"))
-    relations = scratch.put(relations.where(F.col("type").isin(DEPENDENCY + HIERARCHY + ["IMPORTS", "EXPORTS"])).select("source", "target", "type"))
-    seeds = targets.select(F.col("id").alias("root"), "id").distinct()
-    ways = [w for w in ("upstream", "downstream") if direction in (w, "both")]
-    parts = [reach(symbols, relations, seeds, w == "upstream", depth, include_files=False).withColumn("way", F.lit(k)) for k, w in enumerate(ways)]
-    reached = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    own = scratch.put(reached.groupBy("root", "id").agg(F.min_by("depth", "way").alias("depth")))
-    home = seeds.join(symbols.select("id", "file_path"), "id").select("root", F.col("file_path").alias("id"))
-    files = file_reach(relations, home, direction, depth)
-    extra = imported_file_symbols(symbols, relations, files.select("root", F.col("id").alias("path"), "depth"), own.select("root", "id"))
-    affected = own.unionByName(extra).groupBy("root", "id").agg(F.min("depth").alias("depth")).where("root <> id")
-    affected = affected.join(symbols.select("id", "name", "file_path", "line"), "id").select("root", "id", "name", "file_path", "line", "depth")
-    paths = affected.join(own.select("root", "id"), ["root", "id"], "left_semi").select("root", F.col("file_path").alias("path")).unionByName(files.select("root", F.col("id").alias("path"))).distinct()
-    bucket = F.least("depth", F.lit(3))
-    by_symbol = reached.select("root", "id", bucket.alias("b"), "depth").distinct().groupBy("root", "b").agg(F.count(F.lit(1)).alias("s"))
-    by_file = files.select("root", bucket.alias("b")).groupBy("root", "b").agg(F.count(F.lit(1)).alias("f"))
-    each = by_symbol.join(by_file, ["root", "b"], "full_outer").select("root", "b", F.greatest(F.coalesce("s", F.lit(0)), F.coalesce("f", F.lit(0))).alias("n"))
-    summary = seeds.select("root").join(each, "root", "left").groupBy("root").agg(*[F.coalesce(F.sum(F.when(F.col("b") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in ((1, "direct"), (2, "indirect"), (3, "transitive"))])
-    summary = summary.withColumn("total", F.col("direct") + F.col("indirect") + F.col("transitive")).withColumn("risk", risk_level("direct", "total"))
-    return summary, affected, paths
+
+    def __init__(self, symbols: DataFrame, relations: DataFrame, targets: DataFrame, direction: str = "upstream", depth: int = 3):
+        self.scratch = Scratch(symbols.sparkSession, "impact")
+        self.symbols = self.scratch.put(symbols.select("id", "name", "file_path", "line"))
+        self.relations = self.scratch.put(relations.where(F.col("type").isin(DEPENDENCY + HIERARCHY + ["IMPORTS", "EXPORTS"])).select("source", "target", "type"))
+        self.seeds = targets.select(F.col("id").alias("root"), "id").distinct()
+        self.direction, self.depth = direction, depth
+
+    @cached_property
+    def reached(self) -> DataFrame:
+        """(root, id, depth, way): symbols over dependency and hierarchy edges, each way apart."""
+        ways = [w for w in ("upstream", "downstream") if self.direction in (w, "both")]
+        parts = [reach(self.symbols, self.relations, self.seeds, w == "upstream", self.depth, include_files=False).withColumn("way", F.lit(k)) for k, w in enumerate(ways)]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    @cached_property
+    def own(self) -> DataFrame:
+        return self.scratch.put(self.reached.groupBy("root", "id").agg(F.min_by("depth", "way").alias("depth")))
+
+    @cached_property
+    def files(self) -> DataFrame:
+        """(root, id, depth): files over imports from the file of each target."""
+        home = self.seeds.join(self.symbols.select("id", "file_path"), "id").select("root", F.col("file_path").alias("id"))
+        return file_reach(self.relations, home, self.direction, self.depth)
+
+    def summary(self) -> DataFrame:
+        """root, direct, indirect, transitive, total, risk."""
+        bucket = F.least("depth", F.lit(3))
+        by_symbol = self.reached.select("root", "id", bucket.alias("b"), "depth").distinct().groupBy("root", "b").agg(F.count(F.lit(1)).alias("s"))
+        by_file = self.files.select("root", bucket.alias("b")).groupBy("root", "b").agg(F.count(F.lit(1)).alias("f"))
+        each = by_symbol.join(by_file, ["root", "b"], "full_outer").select("root", "b", F.greatest(F.coalesce("s", F.lit(0)), F.coalesce("f", F.lit(0))).alias("n"))
+        out = self.seeds.select("root").join(each, "root", "left").groupBy("root").agg(*[F.coalesce(F.sum(F.when(F.col("b") == k, F.col("n"))), F.lit(0)).alias(c) for k, c in ((1, "direct"), (2, "indirect"), (3, "transitive"))])
+        return out.withColumn("total", F.col("direct") + F.col("indirect") + F.col("transitive")).withColumn("risk", risk_level("direct", "total"))
+
+    @cached_property
+    def affected(self) -> DataFrame:
+        """root, id, name, file_path, line, depth: reached symbols and those of reached files that hang together with them."""
+        extra = imported_file_symbols(self.symbols, self.relations, self.files.select("root", F.col("id").alias("path"), "depth"), self.own.select("root", "id"))
+        every = self.own.unionByName(extra).groupBy("root", "id").agg(F.min("depth").alias("depth")).where("root <> id")
+        return self.scratch.put(every.join(self.symbols.select("id", "name", "file_path", "line"), "id").select("root", "id", "name", "file_path", "line", "depth"))
+
+    def paths(self) -> DataFrame:
+        """(root, path): files of reached symbols, and reached files."""
+        of_symbols = self.own.where("root <> id").join(self.symbols.select("id", "file_path"), "id").select("root", F.col("file_path").alias("path"))
+        return of_symbols.unionByName(self.files.select("root", F.col("id").alias("path"))).distinct()
+
+
+def impact(symbols: DataFrame, relations: DataFrame, targets: DataFrame, direction: str = "upstream", depth: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Summary, affected symbols and affected files of :class:`Impact`."""
+    one = Impact(symbols, relations, targets, direction, depth)
+    return one.summary(), one.affected, one.paths()
+
+
+_RISK_ORDER = "case risk when 'CRITICAL' then 3 when 'HIGH' then 2 when 'MEDIUM' then 1 else 0 end"
+
+
+class FileImpact:
+    """Impact of each file (``paths`` is (path)): its own walk over imports and the impact of its symbols together."""
+
+    def __init__(self, symbols: DataFrame, relations: DataFrame, paths: DataFrame, direction: str = "upstream", depth: int = 3):
+        self.own = paths.select(F.col("path").alias("root")).distinct()
+        self.walked = file_reach(relations, self.own.select("root", F.col("root").alias("id")), direction, depth)
+        self.inside = symbols.join(self.own.withColumnRenamed("root", "file_path"), "file_path", "left_semi").select("id", "file_path")
+        self.each = Impact(symbols, relations, self.inside.select("id"), direction, depth)
+
+    def summary(self) -> DataFrame:
+        """root, direct, indirect, transitive, total, risk: the larger of the file's walk and any symbol's, by count and by risk."""
+        bucket = F.least("depth", F.lit(3))
+        files = self.walked.groupBy("root").agg(*[F.sum(F.when(bucket == k, 1).otherwise(0)).alias(c) for k, c in ((1, "direct"), (2, "indirect"), (3, "transitive"))])
+        files = self.own.join(files, "root", "left").fillna(0).withColumn("total", F.col("direct") + F.col("indirect") + F.col("transitive")).withColumn("risk", risk_level("direct", "total"))
+        symbols = self.each.summary().join(self.inside.select(F.col("id").alias("root"), "file_path"), "root").drop("root").withColumnRenamed("file_path", "root")
+        both = files.unionByName(symbols).withColumn("o", F.expr(_RISK_ORDER))
+        return both.groupBy("root").agg(F.max("direct").alias("direct"), F.max("indirect").alias("indirect"), F.max("transitive").alias("transitive"), F.max("total").alias("total"), F.max_by("risk", "o").alias("risk"))
+
+    def affected(self) -> DataFrame:
+        """(root, id, depth): symbols affected by any symbol of the file, at their least depth."""
+        of = self.inside.select(F.col("id").alias("root"), F.col("file_path").alias("file"))
+        return self.each.affected.join(of, "root").groupBy(F.col("file").alias("root"), "id").agg(F.min("depth").alias("depth"))
+
+    def paths(self) -> DataFrame:
+        """(root, path): files reached by the file's own walk or affected by any of its symbols."""
+        of = self.inside.select(F.col("id").alias("root"), F.col("file_path").alias("file"))
+        return self.each.paths().join(of, "root").select(F.col("file").alias("root"), "path").unionByName(self.walked.select("root", F.col("id").alias("path"))).distinct()
 
 
 def file_impact(symbols: DataFrame, relations: DataFrame, paths: DataFrame, direction: str = "upstream", depth: int = 3) -> DataFrame:
-    """Impact of each file (``paths`` is (path)): the larger of its own file walk and of any of its symbols, by count and by risk."""
-    own = paths.select(F.col("path").alias("root")).distinct()
-    files = file_reach(relations, own.select("root", F.col("root").alias("id")), direction, depth)
-    bucket = F.least("depth", F.lit(3))
-    walked = files.groupBy("root").agg(*[F.sum(F.when(bucket == k, 1).otherwise(0)).alias(c) for k, c in ((1, "direct"), (2, "indirect"), (3, "transitive"))])
-    walked = own.join(walked, "root", "left").fillna(0).withColumn("total", F.col("direct") + F.col("indirect") + F.col("transitive")).withColumn("risk", risk_level("direct", "total"))
-    inside = symbols.join(own.withColumnRenamed("root", "file_path"), "file_path", "left_semi").select("id", "file_path")
-    summary, _, _ = impact(symbols, relations, inside.select("id"), direction, depth)
-    each = summary.join(inside.select(F.col("id").alias("root"), "file_path"), "root").drop("root").withColumnRenamed("file_path", "root")
-    order = F.expr("case risk when 'CRITICAL' then 3 when 'HIGH' then 2 when 'MEDIUM' then 1 else 0 end")
-    both = walked.unionByName(each).withColumn("o", order)
-    return both.groupBy("root").agg(F.max("direct").alias("direct"), F.max("indirect").alias("indirect"), F.max("transitive").alias("transitive"), F.max("total").alias("total"), F.max_by("risk", "o").alias("risk"))
+    return FileImpact(symbols, relations, paths, direction, depth).summary()
 
 
 def files_impact(each: DataFrame) -> DataFrame:
     """Several files as one: counts are summed, the risk is the largest, the target names all."""
-    order = F.expr("case risk when 'CRITICAL' then 3 when 'HIGH' then 2 when 'MEDIUM' then 1 else 0 end")
-    return each.withColumn("o", order).agg(F.array_join(F.sort_array(F.collect_list("root")), ", ").alias("target"), F.sum("direct").alias("direct"), F.sum("indirect").alias("indirect"), F.sum("transitive").alias("transitive"), F.sum("total").alias("total"), F.max_by("risk", "o").alias("risk"))
+    return each.withColumn("o", F.expr(_RISK_ORDER)).agg(F.array_join(F.sort_array(F.collect_list("root")), ", ").alias("target"), F.sum("direct").alias("direct"), F.sum("indirect").alias("indirect"), F.sum("transitive").alias("transitive"), F.sum("total").alias("total"), F.max_by("risk", "o").alias("risk"))
+
+
+def files_affected(one: FileImpact) -> tuple[DataFrame, DataFrame]:
+    """Of several files as one: affected symbols (id, depth) at their least depth, and affected files (path), the changed ones themselves left out."""
+    symbols = one.affected().groupBy("id").agg(F.min("depth").alias("depth"))
+    return symbols, one.paths().select("path").distinct().join(one.own.select(F.col("root").alias("path")), "path", "left_anti")
 
 
 def spec_impact(specs: DataFrame, symbols: DataFrame, relations: DataFrame, seeds: DataFrame, depth: int = 3) -> tuple[DataFrame, DataFrame, DataFrame]:

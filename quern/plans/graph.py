@@ -25,16 +25,17 @@ def _named(s, d, name):
 
 
 def _summary(s, d):
-    out, _, _ = g.impact(_SYM(s, d), _REL(s, d), s.createDataFrame([(HUB,), (SINK,)], "id string"))
+    out = g.Impact(_SYM(s, d), _REL(s, d), s.createDataFrame([(HUB,), (SINK,)], "id string")).summary()
     return out.select("root", *[F.col(c).cast("long").alias(c) for c in ("direct", "indirect", "transitive", "total")], "risk")
 
 
 def _affected(s, d):
-    return g.impact(_SYM(s, d), _REL(s, d), s.createDataFrame([(HUB,)], "id string"))[1].select("root", "id", "depth")
+    return g.Impact(_SYM(s, d), _REL(s, d), s.createDataFrame([(HUB,)], "id string")).affected.select("root", "id", "depth")
 
 
 def _file_impact(s, d):
-    return g.file_impact(_SYM(s, d), _REL(s, d), s.createDataFrame([(HUB_FILE,), (_FILE,)], "path string"))
+    out = g.file_impact(_SYM(s, d), _REL(s, d), s.createDataFrame([(HUB_FILE,), (_FILE,)], "path string"))
+    return out.select("root", *[F.col(c).cast("long").alias(c) for c in ("direct", "indirect", "transitive", "total")], "risk")
 
 
 def _spec_impact(s, d):

@@ -27,32 +27,34 @@ def workspace_of(key: Column) -> Column:
 def graph(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """The graph tables as operators want them: one row a key, kinds and types in one spelling.
 
-    Repeated files keep their latest ``indexed_at``; all other repeats are exact or settled by the smallest value,
-    so every table is a function of its key. Null keys name nothing and are left out.
+    Repeated files keep their latest ``indexed_at``; all other repeats are exact, and should they differ each column takes
+    its smallest value, so every table is a function of its key. Null keys name nothing and are left out. Columns are
+    aggregated apart: what a query does not use is neither read nor shuffled, contents above all.
     """
-    files = (
-        load(spark, folder, "files").where("path is not null")
-        .groupBy("path")
-        .agg(F.max_by(F.struct("config_relative_path", "language", "content_hash", "workspace", "content"), F.coalesce("indexed_at", F.lit("1970-01-01").cast("timestamp_ntz"))).alias("r"))
-        .select("path", "r.*")
-    )
-    symbols = symbols_of(load(spark, folder, "symbols"))
-    return {"files": files, "symbols": symbols, "relations": relations_of(load(spark, folder, "relations")), "specs": specs_of(load(spark, folder, "specs")), "docnodes": docnodes_of(load(spark, folder, "docnodes"))}
+    read = lambda name: load(spark, folder, name)
+    return {"files": files_of(read("files")), "symbols": symbols_of(read("symbols")), "relations": relations_of(read("relations")), "specs": specs_of(read("specs")), "docnodes": docnodes_of(read("docnodes"))}
+
+
+def files_of(raw: DataFrame) -> DataFrame:
+    cols = ["config_relative_path", "language", "content_hash", "workspace", "content"]
+    order = F.struct(F.coalesce("indexed_at", F.lit("1970-01-01").cast("timestamp_ntz")), "content_hash")
+    return raw.where("path is not null").groupBy("path").agg(*[F.max_by(c, order).alias(c) for c in cols])
+
+
+def _one_each(raw: DataFrame, key: str, cols: list[str]) -> DataFrame:
+    return raw.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.min(c).alias(c) for c in cols])
 
 
 def symbols_of(raw: DataFrame) -> DataFrame:
-    cols = ["name", "kind", "file_path", "line", "column_number", "parent_id", "comment"]
-    return raw.where("id is not null").groupBy("id").agg(F.min(F.struct(*cols)).alias("r")).select("id", "r.name", F.lower(F.trim("r.kind")).alias("kind"), "r.file_path", "r.line", "r.column_number", "r.parent_id", "r.comment")
+    return _one_each(raw, "id", ["name", "kind", "file_path", "line", "column_number", "parent_id", "comment"]).withColumn("kind", F.lower(F.trim("kind")))
 
 
 def specs_of(raw: DataFrame) -> DataFrame:
-    cols = ["path", "title", "description", "content_hash", "content", "depends_on", "workspace"]
-    return raw.where("spec_id is not null").groupBy("spec_id").agg(F.min(F.struct(*cols)).alias("r")).select("spec_id", "r.*")
+    return _one_each(raw, "spec_id", ["path", "title", "description", "content_hash", "content", "depends_on", "workspace"])
 
 
 def docnodes_of(raw: DataFrame) -> DataFrame:
-    cols = ["config_relative_path", "content_hash", "content", "workspace"]
-    return raw.where("path is not null").groupBy("path").agg(F.min(F.struct(*cols)).alias("r")).select("path", "r.*")
+    return _one_each(raw, "path", ["config_relative_path", "content_hash", "content", "workspace"])
 
 
 def relations_of(raw: DataFrame) -> DataFrame:

@@ -153,3 +153,22 @@ def expand_query(query: str) -> tuple[str, list[str], list[str]]:
             x = re.sub(pattern, put.replace("$", "\\"), x)
         out += [token, *re.sub(SEPARATORS, " ", x).split()]
     return " ".join(raw), raw, list(dict.fromkeys(out))
+
+
+def placeholders(template: Column, text: Column, pattern: str) -> Column:
+    """``$0`` to ``$9`` in a template replaced by the groups of the first match; groups that are not there are empty, null where nothing matches."""
+    out = template
+    groups = re.compile(pattern).groups
+    for k in range(9, -1, -1):
+        out = F.replace(out, F.lit(f"${k}"), F.regexp_extract(text, pattern, k) if k <= groups else F.lit(""))
+    return F.when(text.rlike(pattern), out)
+
+
+def quoted(value: Column) -> Column:
+    """A value in single quotes, as a shell takes it."""
+    return F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("'\\''")), F.lit("'"))
+
+
+def file_hashes(keys: Column, hashes: Column) -> Column:
+    """One map of file to hash from two arrays of equal length."""
+    return F.map_from_arrays(keys, hashes)

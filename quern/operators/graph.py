@@ -296,6 +296,33 @@ def dependency_closure(edges: DataFrame, seeds: DataFrame, depth: int | None = N
     return walk(edges, seeds, depth)
 
 
+def change_summary(per: DataFrame, affected: DataFrame, files: int) -> DataFrame:
+    """One row of :func:`detect_changes`: changed and affected symbols, the largest risk, and a sentence that says so."""
+    order = F.expr(_RISK_ORDER)
+    out = per.agg(F.count(F.lit(1)).alias("changed"), F.coalesce(F.max_by("risk", order), F.lit("LOW")).alias("risk")).join(F.broadcast(affected.agg(F.count(F.lit(1)).alias("affected"))))
+    return out.withColumn("summary", F.concat(F.lit(f"{files} file(s) changed, "), F.col("changed").cast("string"), F.lit(" symbol(s) modified, "), F.col("affected").cast("string"), F.lit(" symbol(s) affected; risk "), F.col("risk")))
+
+
+def hierarchy_dependents(symbols: DataFrame, relations: DataFrame, changed: DataFrame) -> DataFrame:
+    """(path): files, not changed themselves, with a symbol one hierarchy edge above a class or interface of the changed files (path)."""
+    types = symbols.where("kind in ('class', 'interface')").join(changed.select(F.col("path").alias("file_path")), "file_path", "left_semi").select(F.col("id").alias("target"))
+    above = relations.where(F.col("type").isin(HIERARCHY)).join(types, "target", "left_semi").select(F.col("source").alias("id")).distinct()
+    return symbols.join(above, "id", "left_semi").select(F.col("file_path").alias("path")).distinct().join(changed.select("path"), "path", "left_anti")
+
+
+def cover_edges(links: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Coverage edges (source, target, type) of implementation links (spec_id, file, symbols): each named symbol of the file, the file itself where none is named."""
+    whole = links.where(F.coalesce(F.size("symbols"), F.lit(0)) <= 0).select(F.col("spec_id").alias("source"), F.col("file").alias("target"), F.lit("COVERS_FILE").alias("type"))
+    named = links.select("spec_id", F.col("file").alias("file_path"), F.explode("symbols").alias("name")).join(symbols.select("file_path", "name", "id"), ["file_path", "name"])
+    return whole.unionByName(named.select(F.col("spec_id").alias("source"), F.col("id").alias("target"), F.lit("COVERS_SYMBOL").alias("type"))).distinct()
+
+
+def descendants_in_order(nodes: DataFrame, edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(id, level): everything after the seeds (id) in a graph without cycles, seeds excluded, with its topological level."""
+    after = walk(edges, seeds.select(F.lit(1).alias("root"), "id"), None).select("id").distinct()
+    return topological_levels(nodes, edges).join(after, "id", "left_semi").join(seeds.select("id"), "id", "left_anti")
+
+
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, level): the length of the longest way from a node without predecessors; ``edges`` is (a before b).
 

@@ -26,11 +26,38 @@ def page(rows: DataFrame, order: list[Column], limit: int | None = None, number:
 
 
 def page_meta(rows: DataFrame, got: DataFrame, limit: int, number: int = 1) -> DataFrame:
-    """total, count, limit, page and whether more follows."""
+    """total, count, limit, page and whether more follows, for a numbered page."""
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     return total.join(F.broadcast(got.agg(F.count(F.lit(1)).alias("count")))).select("total", "count", F.lit(limit).alias("limit"), F.lit(number).alias("page"), (F.lit(number * limit) < F.col("total")).alias("more"))
 
 
+def keyset_meta(rows: DataFrame, keys: tuple[str, str], limit: int, after: tuple | None = None) -> DataFrame:
+    """total, count, limit, next_key and next_id of a page after a cursor; the next cursor is null where nothing follows.
+
+    The page and one row more are taken in order, so what lies beyond is neither sorted whole nor counted.
+    """
+    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    key, ident = keys
+    ahead = page(rows.select(F.col(key).alias("key"), F.col(ident).alias("ident")), [F.col("key"), F.col("ident")], limit + 1, after=after, keys=("key", "ident"))
+    last = F.when(F.count(F.lit(1)) > limit, F.element_at(F.sort_array(F.collect_list(F.struct("key", "ident"))), limit))
+    return total.join(F.broadcast(ahead.agg(F.least(F.count(F.lit(1)), F.lit(limit)).alias("count"), last.alias("last")))).select("total", "count", F.lit(limit).alias("limit"), F.col("last.key").alias("next_key"), F.col("last.ident").alias("next_id"))
+
+
+def active_order(state: str = "state", created: str = "created_at", at: str = "at", name: str = "name") -> list[Column]:
+    """Active ones by creation; drafted and discarded ones by their time, the latest first; then by name."""
+    closed = F.col(state).isin("drafted", "discarded")
+    return [F.when(closed, None).otherwise(F.col(created)).asc_nulls_last(), F.when(closed, F.col(at)).desc(), F.col(name)]
+
+
+def archive_order(at: str = "archived_at", name: str = "name") -> list[Column]:
+    return [F.col(at).desc(), F.col(name)]
+
+
+def affected_order() -> list[Column]:
+    """Affected symbols by depth, path, line, name, id."""
+    return [F.col(c) for c in ("depth", "file_path", "line", "name", "id")]
+
+
 def check_limit(value: str | int | None, default: int = 100) -> int | None:
     """The limit a user gave: a number from 1, ``all`` for none, or the default."""
     if value is None:

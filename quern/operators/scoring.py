@@ -108,3 +108,28 @@ def artifact_status(files: DataFrame, key: str = "artifact", state: str = "state
     status = F.when(F.count(state) == 0, "missing").when(some("drifted-pending-review"), "drifted-pending-review").when(some("pending-review"), "pending-review").when(some("pending-parent-artifact-review"), "pending-parent-artifact-review")
     status = status.when(every("skipped"), "skipped").when(every("complete", "skipped"), "complete").when(every("missing"), "missing").otherwise("in-progress")
     return files.groupBy(key).agg(status.alias("status"))
+
+
+def with_total(rows: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Adds ``total_symbols``, the number of all symbols, whatever filters the rows have passed."""
+    return rows.join(F.broadcast(symbols.agg(F.count(F.lit(1)).alias("total_symbols"))))  # one row
+
+
+def change_coverage(changes: DataFrame, specs: DataFrame, relations: DataFrame) -> DataFrame:
+    """Coverage of every spec of every change (change, spec_ids)."""
+    each = changes.select("change", F.explode(F.array_distinct("spec_ids")).alias("spec_id"))
+    return each.join(coverage(specs, relations, each), "spec_id").select("change", "spec_id", "found", "files", "symbols")
+
+
+def health(items: DataFrame, issues: DataFrame, key: str) -> DataFrame:
+    """(key, status, failures, warnings): failed with any failure, else warned with any warning, else passed. ``issues`` has key and severity."""
+    n = lambda s: F.sum(F.when(F.col("severity") == s, 1).otherwise(0))
+    per = issues.groupBy(key).agg(n("failure").alias("failures"), n("warning").alias("warnings"))
+    out = items.select(key).distinct().join(per, key, "left").fillna(0, ["failures", "warnings"])
+    return out.withColumn("status", F.when(F.col("failures") > 0, "failed").when(F.col("warnings") > 0, "warned").otherwise("passed")).select(key, "status", "failures", "warnings")
+
+
+def health_totals(checked: DataFrame) -> DataFrame:
+    """One row: total, passed, warned, failed of :func:`health`."""
+    n = lambda s: F.sum(F.when(F.col("status") == s, 1).otherwise(0))
+    return checked.agg(F.count(F.lit(1)).alias("total"), *[F.coalesce(n(s), F.lit(0)).alias(s) for s in ("passed", "warned", "failed")])

@@ -1,8 +1,8 @@
 """Full-text search: BM25 over query tokens, joined with ranking by identity.
 
 The query is cut into tokens on the driver; everything else is one plan: identity columns are expressions on the row, term
-counts are taken per row for the query's tokens only, and corpus statistics are one aggregate row. Nothing is indexed
-ahead, no postings are shuffled, and snippets are made after the limit.
+counts are taken per row for the query's tokens only, and corpus statistics are one aggregate row. Snippets are made after
+the limit. Where many queries are put to the same texts, :class:`Index` writes postings once.
 """
 
 from __future__ import annotations
@@ -59,6 +59,12 @@ def bm25(rows: DataFrame, text: Column, query: str, stems: bool = False) -> Data
         return rows.withColumn("bm25", F.lit(0.0))
     tf = [F.size(F.filter("_w", _equals(t))).alias(f"_t{k}") for k, t in enumerate(wanted)]
     counted = rows.withColumn("_w", words).select("*", *tf, F.size("_w").alias("_n")).drop("_w")
+    return _scored(counted, len(wanted))
+
+
+def _scored(counted: DataFrame, n: int) -> DataFrame:
+    """Adds ``bm25`` from the columns ``_t0`` … of token counts and ``_n``, the length of a row."""
+    wanted = range(n)
     corpus = counted.agg(F.count(F.lit(1)).alias("_docs"), F.avg("_n").alias("_avg"), *[F.sum(F.when(F.col(f"_t{k}") > 0, 1).otherwise(0)).alias(f"_d{k}") for k in range(len(wanted))])
     score = F.lit(0.0)
     for k in range(len(wanted)):
@@ -78,13 +84,55 @@ def _plain(token: str) -> list[str]:
 
 def ranked(rows: DataFrame, canonical: Column, alternate: Column | None, text: Column, query: str, limit: int | None = 20, stems: bool = False, key: str = "id") -> DataFrame:
     """Rows that match by text or identity, best first: tier, hits, strength, text score, then key."""
-    both = identity_rank(bm25(rows, text, query, stems), canonical, alternate, query)
+    return _ordered(identity_rank(bm25(rows, text, query, stems), canonical, alternate, query), limit, key)
+
+
+def _ordered(both: DataFrame, limit: int | None, key: str) -> DataFrame:
     found = both.where((F.col("bm25") > 0) | (F.col("hits") > 0))
     found = found.withColumn("score", F.col("tier") * 1_000_000 + F.col("hits") * 10_000 + F.col("strength") * 100 + F.col("bm25"))
     ordered = found.orderBy(F.desc("tier"), F.desc("hits"), F.desc("strength"), F.desc("bm25"), key)
     return ordered if limit is None else ordered.limit(limit)
 
 
+class Index:
+    """Written postings: (bucket, token, key, tf) in folders by the token's bucket, and (key, a, b, n), a row's identities and length.
+
+    A query reads the buckets of its tokens and the narrow table, no text. Tokens are counted before they are shuffled,
+    and a bucket is written by several tasks, so a token that stands in a third of all texts is spread.
+    """
+
+    BUCKETS, SPREAD = 64, 8
+
+    def __init__(self, docs: DataFrame, postings: DataFrame, key: str, stems: bool):
+        self.docs, self.postings, self.key, self.stems = docs, postings, key, stems
+
+    @classmethod
+    def build(cls, rows: DataFrame, key: str, canonical: Column, alternate: Column | None, text: Column, root: str, stems: bool = False) -> Index:
+        """Write the index of rows under a folder that all executors share. Null keys are left out, null texts are empty."""
+        spark = rows.sparkSession
+        words = tx.tokens(F.coalesce(text, F.lit("")))
+        words = stemmed(words) if stems else words
+        src = rows.where(F.col(key).isNotNull()).select(F.col(key), canonical.alias("a"), (F.lit(None).cast("string") if alternate is None else alternate).alias("b"), words.alias("w"))
+        src.select(key, "a", "b", F.size("w").alias("n")).write.parquet(f"{root}/docs")
+        bucket = F.pmod(F.xxhash64("token"), F.lit(cls.BUCKETS)).cast("int")
+        tf = src.select(key, F.explode("w").alias("token")).groupBy("token", key).agg(F.count(F.lit(1)).cast("int").alias("tf")).withColumn("bucket", bucket)
+        tf.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(cls.SPREAD))).sortWithinPartitions("token").write.partitionBy("bucket").parquet(f"{root}/postings")
+        postings = spark.read.schema(f"token string, {key} {rows.schema[key].dataType.simpleString()}, tf int, bucket int").parquet(f"{root}/postings")
+        return cls(spark.read.parquet(f"{root}/docs"), postings, key, stems)
+
+    def search(self, query: str, limit: int | None = 20) -> DataFrame:
+        """Rows that match by text or identity, best first, as :func:`ranked` gives them from the texts."""
+        wanted = list(dict.fromkeys(t for token in tx.expand_query(query)[2] for t in _plain(token)))
+        wanted = list(dict.fromkeys(map(stem, wanted))) if self.stems else wanted
+        hit = self.postings.where(F.col("token").isin(wanted)) if wanted else self.postings.limit(0)
+        if wanted:  # the buckets are known before the scan
+            numbers = self.docs.sparkSession.createDataFrame([(t,) for t in wanted], "token string").select(F.pmod(F.xxhash64("token"), F.lit(self.BUCKETS)).alias("b")).collect()
+            hit = hit.where(F.col("bucket").isin([int(r["b"]) for r in numbers]))
+        counts = hit.groupBy(self.key).agg(*[F.coalesce(F.sum(F.when(F.col("token") == t, F.col("tf"))), F.lit(0)).alias(f"_t{k}") for k, t in enumerate(wanted)], F.count(F.lit(1)).alias("_any"))
+        rows = self.docs.withColumnRenamed("n", "_n").join(counts, self.key, "left").fillna(0, [f"_t{k}" for k in range(len(wanted))])
+        return _ordered(identity_rank(_scored(rows, len(wanted)), F.col("a"), F.col("b"), query), limit, self.key)
+
+
 def symbols(table: DataFrame, query: str, limit: int | None = 20, stems: bool = False) -> DataFrame:
     text = F.concat_ws(" ", tx.expand_name(F.col("name")), F.coalesce("comment", F.lit("")))
     return ranked(table, F.col("id"), F.col("name"), text, query, limit, stems)
@@ -134,10 +182,37 @@ def substring_search(table: DataFrame, key: str, text: str, needle: str) -> Data
     return occurrences(table, key, text, needle).groupBy(key).agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("matches"), F.min("line").alias("first_line"))
 
 
-def federated(parts: list[DataFrame], limit: int) -> DataFrame:
-    """The best of several results with the same columns: each cut to the limit, then all."""
-    out = None
+def federated(parts: list, limit: int) -> DataFrame:
+    """The best of several results with the same columns: each cut to the limit, then all.
+
+    A part is a DataFrame or a function that gives one; a function that fails is left out. If all fail, so does this.
+    """
+    out, error = None, None
     for part in parts:
-        best = part.orderBy(F.desc("score")).limit(limit)
+        try:
+            best = (part() if callable(part) else part).orderBy(F.desc("score")).limit(limit)
+        except Exception as wrong:  # one workspace that cannot be read does not spoil the others
+            error = wrong
+            continue
         out = best if out is None else out.unionByName(best)
+    if out is None:
+        raise error or ValueError("nothing to search")
     return out.orderBy(F.desc("score")).limit(limit)
+
+
+def shown_title(stored: Column, content: Column, key: Column) -> Column:
+    """The stored title, else the first heading, else the key."""
+    return F.coalesce(F.nullif(F.trim(stored), F.lit("")), tx.title(content, key))
+
+
+def like_literal(value: str) -> str:
+    """A text for LIKE … ESCAPE '\\' that matches itself only."""
+    return re.sub(r"([\\%_])", r"\\\1", value)
+
+
+def merged(parts: list[DataFrame], key: str) -> DataFrame:
+    """Candidates (key, score, snippet) of several searches: each key once, with its largest score and snippet."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy(key).agg(F.max("score").alias("score"), F.max("snippet").alias("snippet"))

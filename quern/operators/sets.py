@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,11 +72,59 @@ def unique_target(candidates: DataFrame, fact: str, target: str) -> DataFrame:
 
 
 def divides(parts: DataFrame, whole: DataFrame, key: str, owner: str, member: str) -> DataFrame:
-    """(key, owner): keys of ``parts`` (key, member) that have every member of an owner in ``whole`` (owner, member); owners without members match nothing."""
-    need = whole.select(owner, member).distinct()
-    sizes = need.groupBy(owner).agg(F.count(F.lit(1)).alias("_need"))
-    got = parts.select(key, member).distinct().join(need, member).groupBy(key, owner).agg(F.count(F.lit(1)).alias("_got"))
-    return got.join(sizes, owner).where("_got = _need").select(key, owner)
+    """(key, owner): keys of ``parts`` (key, member) that have every member of an owner in ``whole`` (owner, member); owners without members match nothing.
+
+    Only keys that have the rarest member of an owner are candidates, so a member that everybody has multiplies nothing.
+    """
+    have, need = parts.select(key, member).distinct(), whole.select(owner, member).distinct()
+    often = have.groupBy(member).agg(F.count(F.lit(1)).alias("_n"))
+    rated = need.join(often, member, "left")
+    rarest = rated.groupBy(owner).agg(F.min_by(member, F.struct(F.coalesce("_n", F.lit(0)), member)).alias(member), F.count(F.lit(1)).alias("_need"), F.count("_n").alias("_known"))
+    candidates = rarest.where("_need = _known").join(have, member).select(key, owner, "_need")
+    got = candidates.join(need, owner).join(have, [key, member], "left_semi").groupBy(key, owner, "_need").agg(F.count(F.lit(1)).alias("_got"))
+    return got.where("_got = _need").select(key, owner)
+
+
+def owner_of_edges(relations: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(file_path, type, edges): edges by the file that owns their source, a symbol's file or the file itself."""
+    own = symbols.select(F.col("id").alias("source"), "file_path")
+    return relations.join(own, "source", "left").groupBy(F.coalesce("file_path", "source").alias("file_path"), "type").agg(F.count(F.lit(1)).alias("edges"))
+
+
+def index_breakdown(change: DataFrame, workspace: Column) -> DataFrame:
+    """Per workspace from (path, change) of :func:`file_diff`: discovered, indexed, skipped, removed."""
+    n = lambda *kinds: F.sum(F.when(F.col("change").isin(*kinds), 1).otherwise(0))
+    return change.groupBy(workspace.alias("workspace")).agg(n("new", "changed", "same").alias("discovered"), n("new", "changed").alias("indexed"), n("same").alias("skipped"), n("deleted").alias("removed"))
+
+
+def prune(stored: DataFrame, current: DataFrame, key: str, workspace: str) -> DataFrame:
+    """Keys that are stored and no longer there, of the workspaces that ``current`` covers; others are left alone."""
+    seen = current.select(workspace).distinct()
+    return stored.join(seen, workspace, "left_semi").join(current.select(key), key, "left_anti").select(key)
+
+
+def chunks(items: DataFrame, key: str, size: str, budget: int, group: int = 50_000) -> DataFrame:
+    """(part, chunk, key, size): items in chunks whose sizes add up to the budget at most; a larger item is alone.
+
+    Items are dealt by hash into parts of about ``group`` and taken in order of the key within each, greedily, so a part
+    is one task's bounded work. Null keys are left out, null sizes count as 0.
+    """
+    src = items.where(F.col(key).isNotNull()).select(key, F.coalesce(F.col(size), F.lit(0)).cast("long").alias(size))
+    parts = max(1, -(-src.count() // group))
+    kind = src.schema[key].dataType.simpleString()
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, ignore_index=True)
+        chunk, full, out = -1, budget + 1, []
+        for n in pdf[size].tolist():
+            if full + n > budget:
+                chunk, full = chunk + 1, 0
+            full += n
+            out.append(chunk)
+        return pdf.assign(chunk=out)[["part", "chunk", key, size]]
+
+    dealt = src.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)).cast("int"))
+    return dealt.groupBy("part").applyInPandas(take, f"part int, chunk int, {key} {kind}, {size} long")
 
 
 def overrides(symbols: DataFrame, relations: DataFrame) -> DataFrame:

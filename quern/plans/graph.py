@@ -45,7 +45,7 @@ def _spec_impact(s, d):
 
 
 def _changes(s, d):
-    per, _ = g.detect_changes(_SYM(s, d), _REL(s, d), s.createDataFrame([(_FILE,)], "path string"))
+    per, _ = g.detect_changes(_SYM(s, d), _REL(s, d), s.createDataFrame([(HUB_FILE,), (_FILE,)], "path string"))
     return per.select("id", F.col("direct").cast("long").alias("direct"), F.col("total").cast("long").alias("total"), "risk")
 
 
@@ -145,7 +145,7 @@ QUERIES = {
 }
 
 
-def _walk_sql(step: str, seeds: str, depth: int, tail: str = "") -> str:
+def _walk_sql(step: str, seeds: str, depth: int | str, tail: str = "") -> str:
     return f", step AS ({step}), w AS (SELECT root, id, 0 AS depth FROM ({seeds}) UNION SELECT w.root, s.b, w.depth + 1 FROM w JOIN step s ON s.a = w.id WHERE w.depth < {depth}), r AS (SELECT root, id, min(depth) AS depth FROM w GROUP BY root, id) " + (tail or "SELECT root, id, CAST(depth AS INTEGER) AS depth FROM r WHERE depth > 0")
 
 
@@ -185,6 +185,14 @@ res AS (SELECT {key}, greatest(CASE WHEN a = '{normal}' THEN 5 WHEN b = '{normal
 SELECT {key}, CAST(tier AS INTEGER) AS tier, CAST(hits AS INTEGER) AS hits, CAST(strength AS INTEGER) AS strength, bm25 FROM res WHERE bm25 > 0 OR hits > 0"""
 
 
+def _symbol_search(query: str) -> str:
+    return _search_sql("sym", "id", "id", "name", f"concat_ws(' ', CASE WHEN {'{x}'} = lower(name) THEN name ELSE name || ' ' || {'{x}'} END, coalesce(comment, ''))".replace("{x}", "lower(trim(replace(replace(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '_', ' '), '-', ' ')))"), query)
+
+
+def symbol_search_sql(query: str) -> str:
+    return with_graph(_symbol_search(query))
+
+
 _EDGE = "SELECT source, target, type FROM rel WHERE "
 _IMPACT = (
     f", up AS ({_UP}), w AS (SELECT root, id, 0 AS depth FROM ({_ONE(HUB, SINK)}) UNION SELECT w.root, s.b, w.depth + 1 FROM w JOIN up s ON s.a = w.id WHERE w.depth < 3), r AS (SELECT root, least(d, 3) AS k, count(*) AS s FROM (SELECT root, id, min(depth) AS d FROM w GROUP BY root, id) WHERE d > 0 GROUP BY 1, 2),"
@@ -218,10 +226,10 @@ SQL = {
             True,
         ),
         "g19_detect_changes": (
-            _walk_sql(_UP_FILES, f"SELECT id AS root, id FROM sym WHERE file_path = '{_FILE}'", 3, f", k AS (SELECT root AS id, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 0) AS total FROM r GROUP BY root) SELECT *, {_RISK.format(d='direct', t='total')} AS risk FROM k"),
+            _walk_sql(_UP_FILES, f"SELECT id AS root, id FROM sym WHERE file_path IN ('{HUB_FILE}', '{_FILE}')", 3, f", k AS (SELECT root AS id, count(*) FILTER (depth = 1) AS direct, count(*) FILTER (depth > 0) AS total FROM r GROUP BY root) SELECT *, {_RISK.format(d='direct', t='total')} AS risk FROM k"),
             True,
         ),
-        "g21_dependency_closure": (_walk_sql("SELECT source AS a, target AS b FROM rel WHERE type = 'DEPENDS_ON'", "SELECT spec_id AS root, spec_id AS id FROM spe", 6), True),
+        "g21_dependency_closure": (_walk_sql("SELECT source AS a, target AS b FROM rel WHERE type = 'DEPENDS_ON'", "SELECT spec_id AS root, spec_id AS id FROM spe", "(SELECT count(*) FROM spe)"), True),
         "g24_roots": ("SELECT spec_id FROM spe WHERE spec_id NOT IN (SELECT source FROM rel WHERE type = 'DEPENDS_ON')", False),
         "j01_caller_rows": ("SELECT r.target, t.file_path AS target_file, r.source, s.file_path AS source_file, r.type FROM rel r JOIN sym t ON t.id = r.target JOIN sym s ON s.id = r.source WHERE r.type IN ('CALLS', 'CONSTRUCTS', 'USES_TYPE')", False),
         "j13_enclosing_symbols": (", f AS (SELECT DISTINCT s.file_path, CAST(r.metadata['line'] AS INTEGER) AS line, r.source AS fact_source, r.target AS fact_target FROM relations r JOIN sym s ON s.id = r.source WHERE r.metadata['line'] IS NOT NULL), d AS (SELECT f.*, s.id, row_number() OVER (PARTITION BY f.file_path, f.line, f.fact_source, f.fact_target ORDER BY s.line DESC, s.column_number DESC, s.id DESC) AS n FROM f LEFT JOIN sym s ON s.file_path = f.file_path AND s.line <= f.line) SELECT file_path, line, fact_source, fact_target, id AS enclosing_id FROM d WHERE n = 1", False),
@@ -240,7 +248,7 @@ SQL = {
         "t04_second_page": ("SELECT spec_id, title FROM spe ORDER BY spec_id LIMIT 25 OFFSET 25", False),
         "t05_after_cursor": ("SELECT spec_id, title FROM spe WHERE spec_id > 'm' ORDER BY spec_id LIMIT 25", False),
         "t06_page_meta": ("SELECT count(*) AS total, greatest(least(count(*) - 25, 25), 0) AS count, 25 AS limit, 2 AS page, count(*) > 50 AS more FROM spe", False),
-        "q01_search_symbols": (_search_sql("sym", "id", "id", "name", f"concat_ws(' ', CASE WHEN {'{x}'} = lower(name) THEN name ELSE name || ' ' || {'{x}'} END, coalesce(comment, ''))".replace("{x}", "lower(trim(replace(replace(regexp_replace(regexp_replace(name, '([a-z])([A-Z])', '\\1 \\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1 \\2', 'g'), '_', ' '), '-', ' ')))"), "rank Section"), False),
+        "q01_search_symbols": (_symbol_search("rank Section"), False),
         "q02_search_specs": (_search_sql("spe", "spec_id", "spec_id", "title", "concat_ws(' ', spec_id, title, description, content)", "index-session queue"), False),
         "q03_search_documents": (_search_sql("doc", "path", "path", "config_relative_path", "concat_ws(' ', path, config_relative_path, content)", "outline.filter"), False),
     }.items()

@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -73,3 +74,57 @@ class Scratch:
             where.getFileSystem(conf).delete(where, True)
         except Exception:  # the session is gone already
             pass
+
+
+class SharedFolder:
+    """Small files in a folder on any file system that Spark's executors share, by Hadoop's file interface."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.root = root.rstrip("/")
+        self._jvm = spark.sparkContext._jvm
+        self._fs_class = self._jvm.org.apache.hadoop.fs
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._path("").getFileSystem(conf)
+        self._context = self._fs_class.FileContext.getFileContext(self._fs.getUri(), conf)
+        self._fs.mkdirs(self._path(""))
+
+    def _path(self, name: str):
+        return self._fs_class.Path(f"{self.root}/{name}" if name else self.root)
+
+    def read(self, name: str) -> str | None:
+        if not self._fs.exists(self._path(name)):
+            return None
+        stream = self._fs.open(self._path(name))
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
+
+    def replace(self, name: str, text: str) -> None:
+        """Put the file in place in one step: readers see the old text or the new one."""
+        tmp = f"{name}.{uuid.uuid4().hex}"
+        stream = self._fs.create(self._path(tmp), True)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        how = self._fs_class.Options.Rename
+        options = SparkContext._gateway.new_array(how, 1)
+        options[0] = how.OVERWRITE
+        self._context.rename(self._path(tmp), self._path(name), options)
+
+    def claim(self, name: str, text: str = "") -> bool:
+        """Create the file if there is none; False if there is."""
+        try:
+            stream = self._fs.create(self._path(name), False)
+        except Exception:
+            if self._fs.exists(self._path(name)):
+                return False
+            raise
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        return True
+
+    def delete(self, name: str) -> None:
+        self._fs.delete(self._path(name), True)
+
+    def names(self) -> list[str]:
+        return [status.getPath().getName() for status in self._fs.listStatus(self._path(""))]

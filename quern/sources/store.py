@@ -8,57 +8,56 @@ which a reader notices that it is stale. A lock file, created only if absent, ke
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.operators import graph, scoring, search, sets
+from quern.operators import graph, lookup, scoring, search, sets
+from quern.session import SharedFolder
+from quern.tables import DEPENDENCY
 
 TABLES = ["files", "docnodes", "symbols", "specs", "relations"]
 KEYS = {"files": ["path"], "docnodes": ["path"], "symbols": ["id"], "specs": ["spec_id"], "relations": ["source", "target", "type"]}
 
 
 class Store:
-    """A store in a folder that every executor can reach. The pointer and lock are small files beside the versions."""
+    """A store in a folder that every executor can reach. The pointer and lock are small files beside the versions.
+
+    Every write takes the lock unless the store is used as a context, which holds it over several. The version before
+    the current one stays for readers that began with it; older ones are removed.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
-        os.makedirs(self.root, exist_ok=True)
+        self.folder = SharedFolder(spark, self.root)
+        self.held = False
 
     # pointer, lock
     @property
     def generation(self) -> str | None:
-        try:
-            with open(f"{self.root}/CURRENT", encoding="utf-8") as f:
-                return json.load(f)["version"]
-        except FileNotFoundError:
-            return None
+        return self.meta().get("version")
 
     def meta(self) -> dict:
-        try:
-            with open(f"{self.root}/CURRENT", encoding="utf-8") as f:
-                return json.load(f)
-        except FileNotFoundError:
-            return {}
+        return json.loads(self.folder.read("CURRENT") or "{}")
 
     def _publish(self, version: str, meta: dict) -> None:
-        tmp = f"{self.root}/CURRENT.{uuid.uuid4().hex}"
-        with open(tmp, "w", encoding="utf-8") as f:
-            json.dump(meta | {"version": version, "written": time.time()}, f)
-        os.replace(tmp, f"{self.root}/CURRENT")
+        before = self.generation
+        self.folder.replace("CURRENT", json.dumps(meta | {"version": version, "written": time.time()}))
+        for name in self.folder.names():
+            if len(name) == 32 and name not in (version, before):
+                self.folder.delete(name)
 
     def __enter__(self):
-        try:
-            os.close(os.open(f"{self.root}/LOCK", os.O_CREAT | os.O_EXCL))
-        except FileExistsError:
-            raise RuntimeError("another writer holds the store") from None
+        if not self.folder.claim("LOCK"):
+            raise RuntimeError("another writer holds the store")
+        self.held = True
         return self
 
     def __exit__(self, *_):
-        os.unlink(f"{self.root}/LOCK")
+        self.held = False
+        self.folder.delete("LOCK")
 
     def is_stale(self, generation: str | None) -> bool:
         return generation != self.generation
@@ -72,6 +71,9 @@ class Store:
 
     def bulk_load(self, tables: dict[str, DataFrame], **meta) -> str:
         """A new version of all tables, those not given taken over; edges lie in folders by type."""
+        if not self.held:
+            with self:
+                return self.bulk_load(tables, **meta)
         version = uuid.uuid4().hex
         for name in TABLES:
             df = tables[name] if name in tables else self.table(name)
@@ -119,8 +121,50 @@ class Store:
         return scoring.hotspots(self.table("symbols"), self.table("relations"), **options)
 
     def impact(self, targets: DataFrame, direction: str = "upstream", depth: int = 3):
-        aliases = {"dependents": "upstream", "dependencies": "downstream"}
-        return graph.impact(self.table("symbols"), self.table("relations"), targets, aliases.get(direction, direction), depth)
+        return graph.impact(self.table("symbols"), self.table("relations"), targets, self._way(direction), depth)
+
+    def callers(self, node: str) -> DataFrame:
+        return graph.neighbours(self.table("relations"), DEPENDENCY, node, True)
+
+    def callees(self, node: str) -> DataFrame:
+        return graph.neighbours(self.table("relations"), DEPENDENCY, node, False)
+
+    def importers(self, path: str) -> DataFrame:
+        return graph.neighbours(self.table("relations"), ["IMPORTS"], path, True)
+
+    def importees(self, path: str) -> DataFrame:
+        return graph.neighbours(self.table("relations"), ["IMPORTS"], path, False)
+
+    def overriders(self, node: str) -> DataFrame:
+        return graph.neighbours(self.table("relations"), ["OVERRIDES"], node, True)
+
+    def find_symbols(self, **conditions) -> DataFrame:
+        return lookup.find_symbols(self.table("symbols"), **conditions)
+
+    def resolve_file(self, selector: str) -> DataFrame:
+        return lookup.resolve_file(self.table("files"), self.table("docnodes"), selector)
+
+    def resolve_symbol(self, selector: str) -> DataFrame:
+        return lookup.resolve_symbol(self.table("symbols"), selector)
+
+    def exported_symbols(self, path: str) -> DataFrame:
+        return lookup.exported_symbols(self.table("symbols"), self.table("relations"), path)
+
+    def file_impact(self, paths: DataFrame, direction: str = "upstream", depth: int = 3) -> graph.FileImpact:
+        return graph.FileImpact(self.table("symbols"), self.table("relations"), paths, self._way(direction), depth)
+
+    def spec_impact(self, seeds: DataFrame, depth: int = 3):
+        return graph.spec_impact(self.table("specs"), self.table("symbols"), self.table("relations"), seeds, depth)
+
+    def detect_changes(self, changed: DataFrame, depth: int = 3):
+        return graph.detect_changes(self.table("symbols"), self.table("relations"), changed, depth)
+
+    def coverage(self, wanted: DataFrame) -> DataFrame:
+        return scoring.coverage(self.table("specs"), self.table("relations"), wanted)
+
+    @staticmethod
+    def _way(direction: str) -> str:
+        return {"dependents": "upstream", "dependencies": "downstream"}.get(direction, direction)
 
     def search(self, query: str, limit: int = 20, kinds: tuple[str, ...] = ()) -> dict[str, DataFrame]:
         """Results by kind of node; all kinds where none is named."""
@@ -144,8 +188,17 @@ def publish_lines(rows: DataFrame, root: str) -> str:
     """The list as JSON lines in a new folder, then named by the pointer."""
     version = uuid.uuid4().hex
     rows.write.json(f"{root}/{version}")
-    tmp = f"{root}/CURRENT.{version}"
-    with open(tmp, "w", encoding="utf-8") as f:
-        f.write(version)
-    os.replace(tmp, f"{root}/CURRENT")
+    SharedFolder(rows.sparkSession, root).replace("CURRENT", version)
     return f"{root}/{version}"
+
+
+def sink(rows: DataFrame, form: str, limit: int | None = None) -> str:
+    """Rows of a result as ``json`` or as ``text`` with aligned columns; for what a person reads, so ``limit`` rows at most."""
+    shown = rows if limit is None else rows.limit(limit)
+    if form == "json":
+        return "[" + ",".join(shown.toJSON().collect()) + "]"
+    if form != "text":
+        raise ValueError(f"no such form: {form}")
+    cells = [[*shown.columns], *[["" if v is None else str(v) for v in row] for row in shown.collect()]]
+    widths = [max(map(len, column)) for column in zip(*cells, strict=True)]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(row, widths, strict=True)).rstrip() for row in cells)

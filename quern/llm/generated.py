@@ -117,6 +117,13 @@ def _forest(trees: int, depth: int) -> RandomForestClassifier:
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=3, maxBins=64, seed=7, featuresCol="features", labelCol="label")
 
 
+def _fitted(sample: DataFrame):
+    """The second forest, fitted without the unlabelled rows that the first doubts."""
+    first = _forest(20, 7).fit(sample)
+    clear = first.transform(sample).where((F.col("label") == 1) | (vector_to_array("probability")[1] < DOUBT)).select("features", "label")
+    return _forest(30, 9).fit(clear)
+
+
 def classify(files: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """One row per path: ``path``, ``says``, ``literal``, ``score`` (the forest's, null where there is no text) and ``found``.
 
@@ -137,12 +144,31 @@ def classify(files: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRE
         sample = texts.where((F.xxhash64("path").bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(0x1000000))) < keep)
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
         sample = scratch.put(vectors.transform(sample).select("features", "label"))
-        first = _forest(20, 7).fit(sample)
-        clear = first.transform(sample).where((F.col("label") == 1) | (vector_to_array("probability")[1] < DOUBT)).select("features", "label")
-        forest = _forest(30, 9).fit(clear)
+        forest = _fitted(sample)
         scored = forest.transform(vectors.transform(texts)).select("path", "says", "literal", vector_to_array("probability")[1].alias("score"))
     else:
         scored = texts.select("path", "says", "literal", F.col("label").alias("score"))
     out = scored.unionByName(rows.where("ratio is null").select("path", "says", "literal", F.lit(None).cast("double").alias("score")))
     out = out.groupBy("path").agg(F.max("says").alias("says"), F.max("literal").alias("literal"), F.max("score").alias("score"))
     return out.withColumn("found", F.col("says") | F.coalesce(F.col("score") >= threshold, F.lit(False)))
+
+
+def held_out(files: DataFrame, fit_rows: int = FIT_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """What the forest alone finds on rows it was not fitted on: (sign, rows, found).
+
+    ``sign`` is ``notice or path``, ``literal`` or ``none``. Half of the rows, by the hash of the path, fit; the other
+    half, all of it, is scored. A table without both kinds of rows gives no row.
+    """
+    scratch = Scratch(files.sparkSession, "held-out")
+    rows = scratch.put(described(files).where("ratio is not null").withColumn("label", (F.col("says") | F.col("literal")).cast("double")))
+    side = F.pmod(F.xxhash64(F.lit("half"), "path"), F.lit(2))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    n = rows.count()
+    keep = 2 * fit_rows / max(n, 2 * fit_rows)
+    mine = scratch.put(vectors.transform(rows.where((side == 0) & (F.xxhash64("path").bitwiseAND(F.lit(0xFFFFFF)) / F.lit(float(0x1000000)) < keep))).select("features", "label"))
+    sign = F.when(F.col("says"), "notice or path").when(F.col("literal"), "literal").otherwise("none").alias("sign")
+    if mine.select("label").distinct().count() < 2:
+        return rows.limit(0).select(sign, F.lit(0).cast("long").alias("rows"), F.lit(0).cast("long").alias("found"))
+    forest = _fitted(mine)
+    scored = forest.transform(vectors.transform(rows.where(side == 1))).select(sign, vector_to_array("probability")[1].alias("score"))
+    return scored.groupBy("sign").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.when(F.col("score") >= threshold, 1).otherwise(0)).alias("found"))

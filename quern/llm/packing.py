@@ -158,5 +158,8 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, ranks: str = RANKS, gro
     pieces = measured.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("tokens") / capacity) - 1, F.lit(0)).cast("int")), lambda k: k)).alias("piece", "k"), "tokens")
     pieces = pieces.select("doc_id", "piece", (F.col("piece") * F.lit(capacity)).cast("long").alias("start_token"), F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("piece") * F.lit(capacity)).alias("tokens"))
     groups = max(1, -(-measured.count() // group))
-    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
-    return dealt.groupBy("part").applyInPandas(_pack(capacity), f"container long, doc_id {key}, piece int, start_token long, tokens long")
+    # a full piece is a container as it is: only rests, one a text at most, are packed
+    whole = pieces.where(F.col("tokens") == capacity).select((-1 - F.monotonically_increasing_id()).alias("container"), "doc_id", "piece", "start_token", "tokens")
+    dealt = pieces.where(F.col("tokens") < capacity).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(groups)))
+    packed = dealt.groupBy("part").applyInPandas(_pack(capacity), f"container long, doc_id {key}, piece int, start_token long, tokens long")
+    return packed.unionByName(whole)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import functions, generated, leakage, neighbours, packing, prose, splitting, validity
+from quern.session import Scratch
 from quern.tables import load
 
 
@@ -15,6 +16,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return generated.classify(load(spark, folder, "files")).where("found").select("path")
 
 
+def p1_held_out(spark: SparkSession, folder: str) -> DataFrame:
+    return generated.held_out(load(spark, folder, "files"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return functions.documented(load(spark, folder, "symbols"), load(spark, folder, "files"), with_code=False, without_node=True).select("symbol_id")
 
@@ -31,6 +36,11 @@ def p3_nearest(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(load(spark, folder, "files")).neighbours
 
 
+def p3_recall(spark: SparkSession, folder: str) -> DataFrame:
+    files = load(spark, folder, "files")
+    return neighbours.recall(files, Scratch(spark, "nearest").put(neighbours.nearest(files).neighbours))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return validity.verdicts(load(spark, folder, "files")).where("not valid").select("path").distinct()
 
@@ -65,6 +75,11 @@ def p8_leaked_items(spark: SparkSession, folder: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.max("words").alias("longest"))
 
 
+def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
+    documents = load(spark, folder, "documents")
+    return leakage.clean(documents, leakage.leaks(documents, load(spark, folder, "evalitems"))).select("doc_id")
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return prose.statistics(load(spark, folder, "documents"), load(spark, folder, "commonwords")).where("not natural").select("doc_id").distinct()
 
@@ -78,8 +93,8 @@ def p9_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
-    "p1_found": p1_found, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_nearest": p3_nearest, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p6_pieces": p6_pieces,
-    "p7_packed": p7_packed, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p9_found": p9_found, "p9_statistics": p9_statistics, "p9_counts": p9_counts,
+    "p1_found": p1_found, "p1_held_out": p1_held_out, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_nearest": p3_nearest, "p3_recall": p3_recall, "p4_found": p4_found, "p4_rates": p4_rates, "p6_found": p6_found, "p6_pieces": p6_pieces,
+    "p7_packed": p7_packed, "p8_found": p8_found, "p8_leaked_items": p8_leaked_items, "p8_clean": p8_clean, "p9_found": p9_found, "p9_statistics": p9_statistics, "p9_counts": p9_counts,
 }
 
 _USABLE = "u AS (SELECT path, min(CAST(embedding AS DOUBLE[])) AS v FROM files WHERE path IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0 GROUP BY path)"
@@ -97,6 +112,12 @@ r AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY sim DESC, other) A
 SELECT DISTINCT least(path, other) AS path_a, greatest(path, other) AS path_b FROM r WHERE n <= 5 AND sim >= 0.9""",
     "p6_found": " UNION ".join(f"SELECT '{table}' AS item_table, {key} AS item_key FROM {table} WHERE {key} IS NOT NULL AND length(content) > 6000" for table, key in (("files", "path"), ("specs", "spec_id"), ("docnodes", "path"))),
     "p8_found": f"WITH {_SHINGLES} SELECT DISTINCT doc_id, item_id FROM dg JOIN eg USING (g)",
+    "p8_leaked_items": f"""WITH {_SHINGLES.replace("unnest(list_transform", "unnest(range(1, greatest(len(w) - 10, 1))) AS i, unnest(list_transform").replace("eg AS (SELECT DISTINCT", "eg AS (SELECT")},
+mt AS (SELECT DISTINCT doc_id, item_id, dg.i AS i, dg.i - eg.i AS diagonal FROM dg JOIN eg USING (g)),
+rn AS (SELECT doc_id, item_id, diagonal, i - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY i) AS run FROM mt),
+ln AS (SELECT doc_id, item_id, count(*) + 11 AS words FROM rn GROUP BY doc_id, item_id, diagonal, run)
+SELECT item_id, count(DISTINCT doc_id) AS documents, max(words) AS longest FROM ln GROUP BY item_id""",
+    "p8_clean": f"WITH {_SHINGLES} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM dg JOIN eg USING (g))",
     "p9_counts": """WITH k AS (SELECT DISTINCT lower(word) AS word FROM commonwords),
 t AS (SELECT doc_id, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w, list_filter(list_transform(string_split(text, chr(10)), lambda s: regexp_replace(s, '^[ \\t\\r]+|[ \\t\\r]+$', '', 'g')), lambda s: s <> '') AS l FROM documents WHERE text IS NOT NULL),
 c AS (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(w) AS word FROM t) x JOIN k USING (word) GROUP BY doc_id)

@@ -1,8 +1,8 @@
 """Splitting oversized items at natural boundaries, by content-defined chunking.
 
 A rolling hash over the last ``WINDOW`` characters marks landmarks that depend on nothing but the text around them. A piece
-ends at the first landmark past the least size, moved to the nearest natural boundary (blank line, line end, sentence
-end, blank); without a landmark it ends before the limit. So an edit changes the pieces near it and no others.
+ends at the first landmark past the least size, moved to the nearest natural boundary (end of a paragraph, line or
+sentence; between words where there is none); without a landmark it ends before the limit. So an edit changes the pieces near it and no others.
 """
 
 from __future__ import annotations
@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 6_000, 200
 WINDOW, SPACING = 64, 1_400
-#: How far a landmark may move to a boundary of a better kind.
-REACH = 400
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_KINDS = [re.compile(r"\n[ \t\r]*\n[ \t\r\n]*"), re.compile(r"\n[ \t]*"), re.compile(r"[.!?;。！？]['\"”’)\]]*\s+|[。！？]"), re.compile(r"\s+|[^\S]")]
+#: Natural boundaries (ends of paragraphs, lines and sentences), and what is left between words.
+_KINDS = [re.compile(r"\n[ \t\r]*\n[ \t\r\n]*|\n[ \t]*|[.!?;。！？]['\"”’)\]]*\s+|[。！？]"), re.compile(r"\s+")]
 
 
 def landmarks(text: str, spacing: int = SPACING) -> np.ndarray:
@@ -39,14 +38,12 @@ def landmarks(text: str, spacing: int = SPACING) -> np.ndarray:
 
 
 def _snap(at: int, low: int, high: int, kinds: list[np.ndarray]) -> int:
-    """The nearest boundary of the best kind within reach, else the nearest of any kind in bounds, else the place itself."""
-    for reach in (REACH, high - low):
-        a, b = max(low, at - reach), min(high, at + reach)
-        for ends in kinds:
-            i, j = np.searchsorted(ends, [a, b + 1])
-            if i < j:
-                near = ends[i:j]
-                return int(near[np.argmin(np.abs(near - at))])
+    """The natural boundary in bounds that is nearest to the landmark; without one the nearest blank, else the place itself."""
+    for ends in kinds:
+        i, j = np.searchsorted(ends, [low, high + 1])
+        if i < j:
+            near = ends[i:j]
+            return int(near[np.argmin(np.abs(near - at))])
     return at
 
 

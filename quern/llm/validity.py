@@ -1,9 +1,14 @@
 """Source files that do not parse.
 
-Short files are lexed, their brackets matched and their balanced statements parsed by local grammars where they lie.
-Files longer than a chunk are cut at line ends; the chunks, spread over the cluster, become lexer-state maps
-(:mod:`quern.llm.lexer_states`) that are composed per file; the grammar, which reads the whole text, has the last word.
-Python's statements are parsed by the interpreter's own grammar (``ast``).
+A file is cut into chunks, where it can be after a block that ends at the margin, else at a line end; most files are one.
+The chunks, spread over the cluster, become lexer-state maps with bracket summaries (:mod:`quern.llm.lexer_states`). Maps
+compose associatively; composed from the start of the file they tell in what state each chunk begins, so which cuts part
+statements. That scan sees no text: a file of a gigabyte is some 60,000 narrow rows. What lies between two such cuts, a
+run of balanced statements, is then parsed by the local grammars, each by itself wherever there is room. Python's
+statements are parsed by the interpreter's own grammar (``ast``).
+
+A run found wrong is confirmed on the whole text before the file counts as invalid, and a file whose maps do not fit
+together is parsed whole: maps know neither markup nor quotes nested in f-strings.
 """
 
 from __future__ import annotations
@@ -13,21 +18,24 @@ import json
 import re
 import sys
 import warnings
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm import grammar_go, grammar_js, grammar_php
-from quern.llm.lexer_states import chunk_map, compose, settle
+from quern.llm.lexer_states import BROKEN, START, chunk_map, compose, settle
 from quern.llm.lexing import _DIVISION, _DQ, _REGEX, _SQ
+from quern.session import Scratch
 
 # The language of each extension.
 LANGUAGES = {"ts": "ts", "tsx": "ts", "mts": "ts", "cts": "ts", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "py": "py", "pyi": "py", "go": "go", "php": "php"}
 #: Frames that the rules of the local grammars take for a token at most.
 FRAMES = 64
 #: Files longer than this are cut into chunks of about this many characters.
-CHUNK = 16_384
+CHUNK = 4_096
 _CODE = re.compile(rf"{_DIVISION}|//[^\n]*+|/\*[\s\S]*?\*/|{_SQ}|{_DQ}|`|{_REGEX}|[{{}}]|<(?=[A-Za-z_$>])")
 _TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{")
 _OPEN = re.compile(r"<([A-Za-z_$][\w.:$-]*)?")
@@ -217,16 +225,34 @@ def _python(text: str) -> bool:
     return True
 
 
-def chunks_of(text: str, most: int) -> list[str]:
-    """Pieces of about ``most`` characters that end at a line end; a longer line stays whole."""
-    out, at = [], 0
+# Words that go on with the statement before them, or that must not begin a later part of a file.
+_GOES_ON = {
+    "js": "else catch finally while instanceof in of as satisfies from extends implements", "go": "import package else",
+    "php": "else elseif catch finally while and or xor instanceof insteadof as namespace declare use",
+}
+_GOES_ON["ts"] = _GOES_ON["js"]
+_BLOCK_END = re.compile(r"\n\}[ \t]*\r?\n")
+_NEXT_WORD = re.compile(r"(?:\s+|//[^\n]*|/\*[\s\S]*?\*/|#(?!\[)[^\n]*)*+([A-Za-z_$@][\w$]*)?")
+_PY_START = re.compile(r"\n[ \t]+\S[^\n]*\n(?:[ \t]*\n)+(?=(?:def|class|async|import|from|@)[ \w])")
+
+
+def chunks_of(text: str, most: int, lang: str | None = None) -> list[tuple[str, bool]]:
+    """Pieces of about ``most`` characters, and whether each begins after the end of a block at the margin.
+
+    Other pieces begin at a line end; a longer line stays whole.
+    """
+    out, at, parted = [], 0, False
     while at < len(text):
-        if len(text) - at <= most:
-            end = len(text)
-        else:
-            end = text.rfind("\n", at, at + most) + 1 or (text.find("\n", at + most) + 1 or len(text))
-        out.append(text[at:end])
-        at = end
+        end, fit = len(text), False
+        if len(text) - at > most:
+            ends = [m.end() for m in (_PY_START if lang == "py" else _BLOCK_END).finditer(text, at + most // 2, at + most)] if lang else []
+            if lang != "py":
+                stop = _GOES_ON.get(lang, "").split()
+                ends = [e for e in ends if (word := _NEXT_WORD.match(text, e)[1]) and word not in stop]
+            fit = bool(ends)
+            end = ends[-1] if fit else text.rfind("\n", at, at + most) + 1 or (text.find("\n", at + most) + 1 or len(text))
+        out.append((text[at:end], parted))
+        at, parted = end, fit
     return out
 
 
@@ -241,11 +267,15 @@ def _judge(batches):
         yield pdf[["path", "workspace", "lang", "version", "at", "valid"]]
 
 
+_KEYS = ["path", "workspace", "lang", "ext", "version", "at"]
+_KEY_TYPES = "path string, workspace string, lang string, ext string, version long, at long"
+
+
 def _cut(most: int):
     def cut(batches):
         for pdf in batches:
-            rows = [(*key, seq, chunk) for *key, text in pdf[["path", "workspace", "lang", "ext", "version", "at", "content"]].itertuples(index=False, name=None) for seq, chunk in enumerate(chunks_of(text, most))]
-            yield pd.DataFrame(rows, columns=["path", "workspace", "lang", "ext", "version", "at", "seq", "chunk"])
+            rows = [(*key, seq, fit, chunk) for *key, text in pdf[[*_KEYS, "content"]].itertuples(index=False, name=None) for seq, (chunk, fit) in enumerate(chunks_of(text, most, key[2]))]
+            yield pd.DataFrame(rows, columns=[*_KEYS, "seq", "fit", "chunk"])
 
     return cut
 
@@ -256,17 +286,35 @@ def _summarise(batches):
         yield pdf
 
 
-def _reduce(pdf: pd.DataFrame) -> pd.DataFrame:
+def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For each chunk of a file the first chunk of its run of statements, -1 for all where the maps do not fit together."""
+    pdf = pdf.sort_values("seq")
+    lang = pdf["lang"].iloc[0]
+    start = START[lang]
+    so_far, owner, owners = {start: (start, "", "")}, 0, []
+    for seq, fit, states in zip(pdf["seq"], pdf["fit"], pdf["states"], strict=True):
+        here = so_far[start]
+        if fit and here not in (None, BROKEN) and here == ("code", "", ""):
+            owner = seq
+        owners.append(owner)
+        so_far = compose(so_far, {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(states).items()})
+    if settle(lang, so_far) is False:
+        owners = [-1] * len(owners)
+    return pdf.assign(run=owners)[[*_KEYS, "seq", "run"]]
+
+
+# What a run that is not a file's first needs before it.
+_BEFORE_RUN = {"go": "package p\n", "php": "<?php "}
+
+
+def _parse_run(pdf: pd.DataFrame) -> pd.DataFrame:
     warnings.simplefilter("ignore")
-    pdf = pdf.drop_duplicates("seq").sort_values("seq")  # repeated rows of a file bring each chunk again
+    pdf = pdf.sort_values("seq")
     head = pdf.iloc[0]
-    maps = [{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(x).items()} for x in pdf["states"]]
-    while len(maps) > 1:
-        maps = [compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-    ok = settle(head["lang"], maps[0])
-    if not ok:  # the maps know neither markup nor quotes nested in f-strings: the grammar has the last word at any size
-        ok = is_valid("".join(pdf["chunk"]), head["lang"], _markup(head["ext"]))
-    return pd.DataFrame([(head["path"], head["workspace"], head["lang"], head["version"], head["at"], ok)], columns=["path", "workspace", "lang", "version", "at", "valid"])
+    text = "".join(pdf["chunk"])
+    if head["run"] > 0:
+        text = _BEFORE_RUN.get(head["lang"], "") + text
+    return pd.DataFrame([(*head[_KEYS], bool(head["run"] <= 0 and head["seq"] == 0), is_valid(text, head["lang"], _markup(head["ext"])))], columns=[*_KEYS, "first", "valid"])
 
 
 def verdicts(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -283,10 +331,20 @@ def verdicts(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     long = (F.length("content") > chunk) & F.col("lang").isNotNull()
     schema = "path string, workspace string, lang string, version long, at long, valid boolean"
     short = src.where(~F.coalesce(long, F.lit(False))).mapInPandas(_judge, schema)
-    cut = src.where(long).mapInPandas(_cut(chunk), "path string, workspace string, lang string, ext string, version long, at long, seq int, chunk string")
-    spread = cut.repartition("path", "version", "at", "seq")
-    summed = spread.mapInPandas(_summarise, "path string, workspace string, lang string, ext string, version long, at long, seq int, chunk string, states string")
-    return short.unionByName(summed.groupBy("path", "workspace", "version", "at").applyInPandas(_reduce, schema))
+    scratch = Scratch(files.sparkSession, "validity")
+    cut = src.where(long).mapInPandas(_cut(chunk), f"{_KEY_TYPES}, seq int, fit boolean, chunk string")
+    spread = cut.dropDuplicates([*_KEYS, "seq"])  # repeated rows of a file bring each chunk again; the chunks of a file are spread
+    chunks = scratch.put(spread.mapInPandas(_summarise, f"{_KEY_TYPES}, seq int, fit boolean, chunk string, states string"))
+    runs = scratch.put(chunks.drop("chunk").groupBy(*_KEYS).applyInPandas(_scan, f"{_KEY_TYPES}, seq int, run int"))
+    same = lambda a, b, cols: reduce(and_, [a[c].eqNullSafe(b[c]) for c in cols])
+    parts = chunks.join(runs, same(chunks, runs, [*_KEYS, "seq"])).select(*[chunks[c] for c in _KEYS], chunks["seq"], "run", "chunk")
+    parsed = scratch.put(parts.groupBy(*_KEYS, "run").applyInPandas(_parse_run, f"{_KEY_TYPES}, first boolean, valid boolean"))
+    per = parsed.groupBy(*_KEYS).agg(F.bool_and("valid").alias("valid"), F.count(F.lit(1)).alias("runs"))
+    doubted = per.where("not valid and runs > 1")
+    again = chunks.join(doubted, same(chunks, doubted, _KEYS), "left_semi").select(*_KEYS, "seq", F.lit(0).alias("run"), "chunk")
+    whole = again.groupBy(*_KEYS).applyInPandas(_parse_run, f"{_KEY_TYPES}, first boolean, valid boolean")
+    out = ["path", "workspace", "lang", "version", "at", "valid"]
+    return short.unionByName(per.where("valid or runs = 1").select(*out)).unionByName(whole.select(*out))
 
 
 def rates(judged: DataFrame) -> DataFrame:

@@ -18,8 +18,6 @@ import json
 import re
 import sys
 import warnings
-from functools import reduce
-from operator import and_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,7 +33,7 @@ LANGUAGES = {"ts": "ts", "tsx": "ts", "mts": "ts", "cts": "ts", "js": "js", "jsx
 #: Frames that the rules of the local grammars take for a token at most.
 FRAMES = 64
 #: Files longer than this are cut into chunks of about this many characters.
-CHUNK = 4_096
+CHUNK = 8_192
 _CODE = re.compile(rf"{_DIVISION}|//[^\n]*+|/\*[\s\S]*?\*/|{_SQ}|{_DQ}|`|{_REGEX}|[{{}}]|<(?=[A-Za-z_$>])")
 _TEMPLATE = re.compile(r"\\[\s\S]|`|\$\{")
 _OPEN = re.compile(r"<([A-Za-z_$][\w.:$-]*)?")
@@ -267,6 +265,8 @@ def _judge(batches):
         yield pdf[["path", "workspace", "lang", "version", "at", "valid"]]
 
 
+#: In place of nulls in keys.
+_NONE, _NEVER = "\0", -(2**63)
 _KEYS = ["path", "workspace", "lang", "ext", "version", "at"]
 _KEY_TYPES = "path string, workspace string, lang string, ext string, version long, at long"
 
@@ -286,35 +286,54 @@ def _summarise(batches):
         yield pdf
 
 
-def _scan(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each chunk of a file the first chunk of its run of statements, -1 for all where the maps do not fit together."""
-    pdf = pdf.sort_values("seq")
-    lang = pdf["lang"].iloc[0]
+def _in_groups(width: int, columns: list[str], rows_of):
+    """A mapper over rows sorted by their first ``width`` columns: ``rows_of`` gets each group's rows and gives rows of ``columns``.
+
+    Groups may lie across batches; no frame is made for each of them.
+    """
+
+    def run(batches):
+        held: list[tuple] = []
+        for pdf in batches:
+            out: list[tuple] = []
+            for row in pdf.itertuples(index=False, name=None):
+                if held and held[-1][:width] != row[:width]:
+                    out += rows_of(held)
+                    held = []
+                held.append(row)
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(rows_of(held) if held else [], columns=columns)
+
+    return run
+
+
+def _scan(rows: list[tuple]) -> list[tuple]:
+    """For each chunk of a file (keys, seq, fit, states) the first chunk of its run of statements, -1 for all where the maps do not fit together."""
+    lang = rows[0][2]
     start = START[lang]
     so_far, owner, owners = {start: (start, "", "")}, 0, []
-    for seq, fit, states in zip(pdf["seq"], pdf["fit"], pdf["states"], strict=True):
-        here = so_far[start]
-        if fit and here not in (None, BROKEN) and here == ("code", "", ""):
+    for *_, seq, fit, states in rows:
+        if fit and so_far[start] == ("code", "", ""):
             owner = seq
         owners.append(owner)
         so_far = compose(so_far, {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(states).items()})
     if settle(lang, so_far) is False:
         owners = [-1] * len(owners)
-    return pdf.assign(run=owners)[[*_KEYS, "seq", "run"]]
+    return [(*row[: len(_KEYS)], row[len(_KEYS)], owner) for row, owner in zip(rows, owners, strict=True)]
 
 
 # What a run that is not a file's first needs before it.
 _BEFORE_RUN = {"go": "package p\n", "php": "<?php "}
 
 
-def _parse_run(pdf: pd.DataFrame) -> pd.DataFrame:
-    warnings.simplefilter("ignore")
-    pdf = pdf.sort_values("seq")
-    head = pdf.iloc[0]
-    text = "".join(pdf["chunk"])
-    if head["run"] > 0:
-        text = _BEFORE_RUN.get(head["lang"], "") + text
-    return pd.DataFrame([(*head[_KEYS], bool(head["run"] <= 0 and head["seq"] == 0), is_valid(text, head["lang"], _markup(head["ext"])))], columns=[*_KEYS, "first", "valid"])
+def _parse_run(rows: list[tuple]) -> list[tuple]:
+    """Whether the chunks (keys, run, seq, chunk) of one run make up balanced statements."""
+    _, _, lang, ext, _, _, run, _, _ = rows[0]
+    text = "".join(row[-1] for row in rows)
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        ok = is_valid(_BEFORE_RUN.get(lang, "") + text if run > 0 else text, lang, _markup(ext))
+    return [(*rows[0][: len(_KEYS)], ok)]
 
 
 def verdicts(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
@@ -332,19 +351,19 @@ def verdicts(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
     schema = "path string, workspace string, lang string, version long, at long, valid boolean"
     short = src.where(~F.coalesce(long, F.lit(False))).mapInPandas(_judge, schema)
     scratch = Scratch(files.sparkSession, "validity")
-    cut = src.where(long).mapInPandas(_cut(chunk), f"{_KEY_TYPES}, seq int, fit boolean, chunk string")
+    keyed = src.where(long).withColumns({"workspace": F.coalesce("workspace", F.lit(_NONE)), "at": F.coalesce("at", F.lit(_NEVER))})
+    cut = keyed.mapInPandas(_cut(chunk), f"{_KEY_TYPES}, seq int, fit boolean, chunk string")
     spread = cut.dropDuplicates([*_KEYS, "seq"])  # repeated rows of a file bring each chunk again; the chunks of a file are spread
     chunks = scratch.put(spread.mapInPandas(_summarise, f"{_KEY_TYPES}, seq int, fit boolean, chunk string, states string"))
-    runs = scratch.put(chunks.drop("chunk").groupBy(*_KEYS).applyInPandas(_scan, f"{_KEY_TYPES}, seq int, run int"))
-    same = lambda a, b, cols: reduce(and_, [a[c].eqNullSafe(b[c]) for c in cols])
-    parts = chunks.join(runs, same(chunks, runs, [*_KEYS, "seq"])).select(*[chunks[c] for c in _KEYS], chunks["seq"], "run", "chunk")
-    parsed = scratch.put(parts.groupBy(*_KEYS, "run").applyInPandas(_parse_run, f"{_KEY_TYPES}, first boolean, valid boolean"))
-    per = parsed.groupBy(*_KEYS).agg(F.bool_and("valid").alias("valid"), F.count(F.lit(1)).alias("runs"))
-    doubted = per.where("not valid and runs > 1")
-    again = chunks.join(doubted, same(chunks, doubted, _KEYS), "left_semi").select(*_KEYS, "seq", F.lit(0).alias("run"), "chunk")
-    whole = again.groupBy(*_KEYS).applyInPandas(_parse_run, f"{_KEY_TYPES}, first boolean, valid boolean")
-    out = ["path", "workspace", "lang", "version", "at", "valid"]
-    return short.unionByName(per.where("valid or runs = 1").select(*out)).unionByName(whole.select(*out))
+    width = len(_KEYS)
+    narrow = chunks.select(*_KEYS, "seq", "fit", "states").repartition(*_KEYS).sortWithinPartitions(*_KEYS, "seq")
+    runs = scratch.put(narrow.mapInPandas(_in_groups(width, [*_KEYS, "seq", "run"], _scan), f"{_KEY_TYPES}, seq int, run int"))
+    parse = lambda rows: rows.repartition(*_KEYS, "run").sortWithinPartitions(*_KEYS, "run", "seq").mapInPandas(_in_groups(width + 1, [*_KEYS, "valid"], _parse_run), f"{_KEY_TYPES}, valid boolean")
+    parts = chunks.join(runs, [*_KEYS, "seq"]).select(*_KEYS, "run", "seq", "chunk")
+    per = scratch.put(parse(parts).groupBy(*_KEYS).agg(F.bool_and("valid").alias("valid"), F.count(F.lit(1)).alias("runs")))
+    whole = parse(chunks.join(per.where("not valid and runs > 1"), _KEYS, "left_semi").select(*_KEYS, F.lit(0).alias("run"), "seq", "chunk"))
+    named = lambda rows: rows.select("path", F.nullif("workspace", F.lit(_NONE)).alias("workspace"), "lang", "version", F.nullif("at", F.lit(_NEVER)).alias("at"), "valid")
+    return short.unionByName(named(per.where("valid or runs = 1"))).unionByName(named(whole))
 
 
 def rates(judged: DataFrame) -> DataFrame:

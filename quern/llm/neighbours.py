@@ -295,7 +295,7 @@ def _search(dim: int, k: int, leaves_each: int, leaf_rows: int):
         member = pdf["leaf"].to_numpy() >= 0
         m, q = pdf[member].sort_values(["leaf", "cid"]), pdf[~member]
         if not len(m) or not len(q):
-            return pd.DataFrame({"cid": [], "near": []})
+            return pd.DataFrame({"cid": np.array([], dtype=np.int64), "near": pd.Series([], dtype=object)})
         mv, qv = _matrix(m["vec"], dim), _matrix(q["vec"], dim)
         mu, qu = unit(mv).astype(np.float32), unit(qv).astype(np.float32)
         mids, qids = m["cid"].to_numpy(), q["cid"].to_numpy()
@@ -338,9 +338,13 @@ def _search(dim: int, k: int, leaves_each: int, leaf_rows: int):
             cut = np.searchsorted(own[order], np.arange(len(centres) + 1))
             for c in range(0, len(asking), 65_536):
                 rows = asking[c : c + 65_536]
-                near = np.argpartition(-(qu[rows] @ centres.T), leaves_each - 1, axis=1)[:, :leaves_each].ravel()
+                near = np.argsort(-(qu[rows] @ centres.T), axis=1, kind="stable")
+                # as many leaves as calibrated, and more until they hold k others
+                seen = np.cumsum(np.diff(cut)[near], axis=1)
+                visited = np.arange(len(centres)) < np.maximum(leaves_each, 1 + (seen < width).sum(axis=1))[:, None]
+                ask, near = np.broadcast_to(rows[:, None], near.shape)[visited], near[visited]
                 by = np.argsort(near, kind="stable")
-                ask, bounds = np.repeat(rows, leaves_each)[by], np.searchsorted(near[by], np.arange(len(centres) + 1))
+                ask, bounds = ask[by], np.searchsorted(near[by], np.arange(len(centres) + 1))
                 for leaf in np.unique(near):
                     look(ask[bounds[leaf] : bounds[leaf + 1]], a + order[cut[leaf] : cut[leaf + 1]])
         qd, md = unit(qv), unit(mv)
@@ -407,6 +411,8 @@ def nearest(files: DataFrame, k: int = 5, dim: int = 64, target: float = TARGET,
         group_of[leaf], size = g, size + counts[leaf]
         cuts[leaf] = max(1, -(-counts[leaf] // sizes.group_rows))
     visits, leaves_each, recall = calibrate(indexed, tree, dim, k, target, n, cuts, counts, sizes)
+    # any cells that a query visits hold k others between them
+    visits = min(tree.leaves, max(visits, 1 + int(np.searchsorted(np.cumsum(np.sort(counts)), k + 1))))
     # how many queries a group gets, estimated on the sample: it sets the size of tasks, not what they find
     asking = np.zeros(g + 1)
     some = unit(_matrix(sample["vec"].iloc[:: max(1, len(sample) // 4_000)], dim)).astype(np.float32)

@@ -29,7 +29,7 @@ def test_chunk_maps_compose_in_any_grouping_and_never_refute_what_parses():
         lang = validity.LANGUAGES[path.split(".")[1]]
         markup = path.endswith("jsx")  # which brackets in markup count is for the grammar to say
         for size in (5, 17, 60):
-            chunks = validity.chunks_of(text.removeprefix("\ufeff"), size)
+            chunks = [c for c, _ in validity.chunks_of(text.removeprefix("\ufeff"), size, lang)]
             assert "".join(chunks) == text.removeprefix("\ufeff")
             maps = [lexer_states.chunk_map(lang, c) for c in chunks]
             left = maps[0]
@@ -82,7 +82,7 @@ def test_function_nodes_have_exact_ranges():
     assert [(n, line, py[a:b]) for n, line, a, b in functions.function_nodes(py, "py")] == [("f", 3, "@deco\n    def f(self):\n        'é'\n        return 1")]
     go = "package p\nfunc (t *T) M() int {\n\treturn 1\n}\nfunc F() {\n\tg := func() { }\n}\n"
     assert {n for n, *_ in functions.function_nodes(go, "go")} == {"M", "F", "g"}
-    assert functions.function_nodes("def f(:", "py") == []
+    assert functions.function_nodes("def f(:", "py") == [("f", 1, 0, 7)]  # what does not parse is told by its layout
 
 
 def test_documented_pairs(spark):
@@ -90,11 +90,12 @@ def test_documented_pairs(spark):
     files = spark.createDataFrame([("w:a.js", code, "x"), ("w:a.js", code, "y"), ("w:null.js", None, "x")], "path string, content string, name string")
     schema = "id string, name string, kind string, file_path string, line int, comment string, code string"
     symbols = spark.createDataFrame([("1", "load", " Function", "w:a.js", 2, "/** Reads the file. */", "z"), ("1", "load", " Function", "w:a.js", 2, "/** Reads the file. */", "z"), ("2", "load", "method", "w:gone.js", 9, "// Writes the file", None), ("3", "x", "class", "w:a.js", 1, "// Holds the file", None), ("4", "x", "function", None, None, "// Holds the file", None), (None, "x", "function", "w:a.js", 2, "// Holds the file", None), ("5", None, "method", "w:a.js", 2, None, None), ("6", "load", "function", "w:a.js", 2, "/** load */", None)], schema)
-    got = {r["symbol_id"]: r for r in functions.documented(symbols, files).collect()}
-    assert set(got) == {"1", "2", "4"}
+    got = {r["symbol_id"]: r for r in functions.documented(symbols, files, without_node=True).collect()}
+    assert set(got) == {"1", "2", "4"} and [r["symbol_id"] for r in functions.documented(symbols, files).collect()] == ["1"]
     assert got["1"]["code"] == code[9:-1] and got["1"]["description"] == "Reads the file." and got["2"]["code"] is None
     assert functions.documented(symbols.limit(0), files).count() == 0
-    assert functions.documented(symbols, files.limit(0)).count() == 3
+    assert functions.documented(symbols, files.limit(0)).count() == 0
+    assert functions.documented(symbols, files.limit(0), without_node=True).count() == 3
 
 
 def test_generated_files(spark, small):
@@ -145,7 +146,7 @@ def test_long_files_are_judged_as_short_ones(spark):
 
 def test_python_beyond_the_interpreter_still_needs_its_brackets(monkeypatch):
     def deep(text):
-        raise RecursionError
+        raise MemoryError
 
     monkeypatch.setattr(validity.ast, "parse", deep)
     assert validity.is_valid("f(1)\n", "py") and not validity.is_valid("f(1\n", "py")
@@ -156,3 +157,44 @@ def test_notices_are_read_to_their_end():
     assert generated.notice_in_header("f()\n" + line + "A" * 5000 + "\n")
     assert generated.notice_in_header("/*\n" + " * words\n" * 4000 + " * Code generated by x. DO NOT EDIT.\n */\nf()\n")
     assert not generated.notice_in_header("/*\n" + " * words\n" * 4000 + " */\nf()\n")
+
+
+@pytest.mark.parametrize(("ext", "before", "inner", "after"), [("js", "x = ", "([", "])"), ("ts", "let x = ", "([", "])"), ("go", "package p\n\nvar x = ", "((", "))"), ("php", "<?php $x = ", "([", "])")])
+def test_any_depth_has_the_verdict_of_a_small_one(ext, before, inner, after):
+    end = "\n" if ext == "go" else ";\n"
+    for n in (3, 5_000):
+        for middle, ok in (("1", True), ("1 1 +*", False)):
+            assert validity.is_valid(before + inner * n + middle + after * n + end, ext) == ok
+
+
+def test_backtracking_never_repeats_what_failed():
+    assert validity.is_valid("x = " + "(a = " * 60 + "1" + ")" * 60 + ";\n", "js")
+    assert not validity.is_valid("package p\n\nvar x = " + "a[" * 60 + "1 1 +*" + "]" * 60 + "\n", "go")
+
+
+def test_all_methods_of_a_large_class():
+    text = "class A extends mixin(B)<{ a: 1 }> {\n" + "".join(f"  m{k}(a) {{ return [a]; }}\n" for k in range(12_000)) + "}\n"
+    assert len(functions.function_nodes(text, "ts")) == 12_000
+
+
+@pytest.mark.parametrize(("lang", "text", "names"), [
+    ("py", "@d\ndef a(x,\n      y):\n    return 1\n\nclass B:\n    def m(self):\n        def inner(): pass\n        x = (\n    def n(self): return 2\ndef z(): 1 +\n", ["a", "inner", "m", "n", "z"]),
+    ("js", "function a() { if (x) { }\nfunction b() { return 1 }\n", ["a", "b"]), ("ts", "class A { m() { f(] } n() { } }", ["m", "n"]), ("go", "package p\nfunc a() {}\nfunc b( {\n", ["a"]), ("py", "", []),
+])
+def test_functions_of_broken_texts(lang, text, names):
+    found = functions.function_nodes(text, lang)
+    assert sorted(n for n, *_ in found) == names
+    assert all(0 <= a < b <= len(text) and name in text[a:b] for name, _, a, b in found)
+
+
+def test_runs_have_the_verdict_of_the_whole(spark, small):
+    files = spark.read.parquet(f"{small}/files.parquet")
+    whole = {(r["path"], r["version"], r["at"]): r["valid"] for r in validity.verdicts(files, 1 << 30).collect()}
+    for size in (200, 1_000):
+        assert {(r["path"], r["version"], r["at"]): r["valid"] for r in validity.verdicts(files, size).collect()} == whole
+
+
+def test_held_out_labels(spark, small):
+    got = {r["sign"]: r for r in generated.held_out(spark.read.parquet(f"{small}/files.parquet")).collect()}
+    assert all(0 <= r["found"] <= r["rows"] for r in got.values())
+    assert generated.held_out(spark.read.parquet(f"{small}/files.parquet").limit(0)).count() == 0

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,15 +135,42 @@ def test_leaks_against_brute_force(spark):
     assert left.where("doc_id = 103").count() == 0
 
 
-def test_shards_are_cut_without_losing_matches(spark, monkeypatch):
+class Sent:
+    def __init__(self, *items):
+        self.value = list(items)
+
+
+def longest(docs, items, shard, blocks=1):
+    sent = [Sent(*items[k::blocks]) for k in range(blocks)]
+    out = {}
+    for found in leakage._look(sent, 12, shard)(iter([pd.DataFrame({"doc_id": [d for d, _ in docs], "text": [t for _, t in docs]})])):
+        for d, i, n in zip(found["doc_id"], found["item_id"], found["words"], strict=True):
+            out[d, i] = max(out.get((d, i), 0), n)
+    return out
+
+
+def test_shards_and_blocks_change_nothing():
     r = random.Random(7)
-    item = text(r, 40)
-    docs = spark.createDataFrame([(1, text(r, 500) + " " + item + " " + text(r, 900)), (2, text(r, 300))], "doc_id long, text string").coalesce(1)
-    run = leakage._look([(9, item)], 12)
-    monkeypatch.setattr(leakage, "SHARD", 300)
-    pdf = docs.toPandas()
-    found = [x for x in run(iter([pdf])) if x is not None and len(x)]
-    assert {(int(a), int(b)) for x in found for a, b in zip(x["doc_id"], x["item_id"], strict=True)} == {(1, 9)}
+    for _ in range(12):
+        words = [f"w{k}" for k in range(r.choice([1, 2, 4, 40]))]
+        items = [(i, " ".join(r.choices(words, k=r.randint(5, 60)))) for i in range(4)]
+        docs = [(d, " ".join(r.choices(words, k=r.randint(0, 120))) + (" " + r.choice(items)[1] + " x" if d % 2 else "")) for d in range(5)]
+        want = brute_leaks(docs, items)
+        for shard, blocks in ((30, 1), (40, 3), (1_000, 2)):
+            assert longest(docs, items, shard, blocks) == want
+
+
+def test_a_match_across_an_edge_is_one():
+    passage = " ".join(f"x{k}" for k in range(8_000))
+    doc = " ".join(f"y{k}" for k in range(19_000)) + " " + passage + " end"
+    assert longest([(1, doc)], [(9, passage)], 10_000) == {(1, 9): 8_000}
+
+
+def test_shared_passages_are_classes():
+    header = " ".join(f"h{k}" for k in range(40))
+    found = longest([(d, f"{header} d{d}") for d in range(400)], [(i, f"{header} i{i}") for i in range(100)], leakage.SHARD)
+    assert len(found) == 40_000 and set(found.values()) == {40}
+    assert longest([(1, "a " * 4_000)], [(2, "a " * 100)], leakage.SHARD) == {(1, 2): 100}
 
 
 # ------------------------------------------------------------------------------------------------------------ neighbours
@@ -180,6 +208,37 @@ def test_few_and_no_vectors(spark):
     assert neighbours.nearest(one.limit(1)).neighbours.count() == 0
 
 
+def test_large_cells_are_fitted_further(spark):
+    """Clustered vectors with bounds so small that cells are refined, cut in leaves and dealt to many tasks."""
+    r = np.random.default_rng(3)
+    hubs = r.normal(size=(12, 64)) * 3
+    x = np.concatenate([hubs[k % 12] + r.normal(size=64) * 0.7 for k in range(1_500)]).reshape(1_500, 64).astype(np.float32)
+    files = spark.createDataFrame([(f"p{i:04}", v.tolist()) for i, v in enumerate(x)], "path string, embedding array<float>")
+    found = neighbours.nearest(files, sizes=neighbours.Sizes(fit_rows=200, cells=4, leaf_rows=20, group_rows=120, query_rows=200, calibration=100))
+    assert found.cells > 12
+    rows = found.neighbours.cache()
+    assert rows.count() == 7_500
+    row = neighbours.recall(files, rows, every=3).first()
+    assert row["queries"] > 300 and row["recall"] >= 0.9 and row["wanted"] == 5 * row["queries"]
+    again = neighbours.nearest(files, sizes=neighbours.Sizes(fit_rows=200, cells=4, leaf_rows=20, group_rows=120, query_rows=200, calibration=100))
+    assert (again.visits, again.leaves_each, again.cells) == (found.visits, found.leaves_each, found.cells)
+
+
+def test_walking_a_large_tree_visits_what_the_whole_order_says():
+    r = np.random.default_rng(4)
+    x = neighbours.unit(r.normal(size=(2_000, 64))).astype(np.float32)
+    tree = neighbours.fit_tree(x, 40_000).refined({3: x[:5], 7: x[5:9]})
+    assert tree.leaves == len(set(tree.leaf[tree.leaf >= 0].tolist())) and (tree.assign(x) >= 0).all()
+    keys = tree.order_keys(x[:50])
+    dense, walked = tree.first(x[:50], 20), tree.first(x[:50], 20, dense=0)
+    met = 0
+    for i in range(50):
+        want = set(np.argsort(keys[i])[:20].tolist())
+        assert set(dense[i].tolist()) == want
+        met += len(want & set(walked[i].tolist()))
+    assert met >= 0.95 * 50 * 20
+
+
 def test_bins_come_in_the_order_of_a_priority_queue():
     import heapq
 
@@ -234,3 +293,26 @@ def test_statistics(spark):
 def test_divergence_is_a_distance_squared():
     p, q = [0.5, 0.5, 0.0], [0.1, 0.2, 0.7]
     assert prose.divergence(p, p) == 0 and prose.divergence(p, q) == pytest.approx(prose.divergence(q, p)) and 0 < prose.divergence(p, q) <= 1
+
+
+def test_profiles_are_fitted_per_language(spark):
+    rows = [(k, EN * 3 + f"\n\n- item {k}") for k in range(60)] + [(100 + k, "Das Protokoll vergleicht alle toten Verweise, und die Sitzung behält die letzte Fassung der Liste. " * 5) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = prose.fit_profiles(docs, COMMON)
+    assert {"prose:en", "prose:de"} <= set(fitted) and fitted["prose:de"][1] > fitted["prose:en"][1]
+    every = prose.made(fitted)
+    assert all(abs(sum(p) - 1) < 0.02 for p in every.values()) and "word list:de" in every
+    assert prose.fit_profiles(docs.limit(0), COMMON) == {} and prose.fit_profiles(docs, {}) == {}
+
+
+def test_full_pieces_are_containers(spark):
+    table = spark.createDataFrame([(1, "word " * 3_000), (2, "word " * 10), (3, None)], "doc_id long, text string")
+    got = packing.pack(table, capacity=256, group=8).collect()
+    full = [r for r in got if r["tokens"] == 256]
+    assert len(full) > 9 and all(r["container"] < 0 for r in full) and len({r["container"] for r in full}) == len(full)
+    assert sum(r["tokens"] for r in got if r["doc_id"] == 1) == len(packing.tokenizer().encode_ordinary("word " * 3_000))
+
+
+def test_cuts_snap_to_the_nearest_boundary():
+    ends = [np.array([100, 180, 300]), np.array([150])]
+    assert splitting._snap(170, 120, 400, ends) == 180 and splitting._snap(170, 140, 160, ends) == 150 and splitting._snap(170, 160, 175, ends) == 170

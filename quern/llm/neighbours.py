@@ -42,6 +42,8 @@ class Sizes:
 SIZES = Sizes()
 #: The share of true neighbours that calibration asks for; recall over all vectors is to be 0.9 at least.
 TARGET = 0.94
+#: The weight of a cell's own distance in its key.
+TIE = 1e-6
 BRANCH = 16
 
 
@@ -66,11 +68,16 @@ class Tree:
         self.node_of[self.leaf[self.leaf >= 0]] = np.flatnonzero(self.leaf >= 0)
 
     def order_keys(self, x: np.ndarray) -> np.ndarray:
-        """For rows of ``x``, the key of each cell: the largest distance on the way to it, by which a priority queue pops it."""
+        """For rows of ``x``, the key of each cell: the largest distance on the way to it, by which a priority queue pops it.
+
+        Below a node that is farther than all its children the largest distance is the node's for all of them; the queue
+        then pops the nearest first, so a cell's own distance parts such ties.
+        """
         far = 1.0 - x @ self.centres.T
+        own = far[:, self.node_of].astype(np.float64)
         for nodes in self.levels[1:]:
             far[:, nodes] = np.maximum(far[:, nodes], far[:, self.parent[nodes]])
-        return far[:, self.node_of]
+        return far[:, self.node_of] + TIE * own
 
     def first(self, x: np.ndarray, most: int, dense: int = 4_096) -> np.ndarray:
         """The ``most`` cells of the least keys of each row, -1 where there are fewer.
@@ -95,7 +102,8 @@ class Tree:
             for above in np.unique(node):
                 here = node == above
                 kids = self.kids[above]
-                far = np.maximum(1.0 - x[row[here]] @ self.centres[kids].T, key[here, None])
+                own = (1.0 - x[row[here]] @ self.centres[kids].T).astype(np.float64)
+                far = np.maximum(own, key[here, None]) + TIE * own
                 out.append((np.repeat(row[here], len(kids)), np.tile(kids, here.sum()), far.ravel()))
             row, node, key = map(np.concatenate, zip(*out, strict=True)) if out else (row, node, key)
         row, cell, key = _least(*map(np.concatenate, zip(*done, strict=True)), most)

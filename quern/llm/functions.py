@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from quern.llm import lexing as lx
 from quern.llm.validity import LANGUAGES, is_valid
+from quern.session import Scratch
 
 # ------------------------------------------------------------------------------------------------------ descriptions
 # Tool directives, placeholders, notices, tags whose text describes.
@@ -412,6 +413,12 @@ def documented(symbols: DataFrame, files: DataFrame, with_code: bool = True, wit
     own = symbols.where(F.col("id").isNotNull() & kind.isin("function", "method") & F.col("comment").isNotNull())
     own = own.groupBy(F.col("id").alias("symbol_id")).agg(F.min(F.struct(F.col("name").alias("symbol_name"), kind.alias("kind"), "comment", "file_path", F.col("line").alias("at"))).alias("s")).select("symbol_id", "s.*")
     found = nodes(files, with_code)
-    met = own.join(found, (own.file_path == found.path) & (own["at"] == found.line) & (own.symbol_name == found.name), "left" if without_node else "inner")
-    out = met.select("symbol_id", F.col("symbol_name").alias("name"), "kind", _described("comment", "symbol_name", _lang("file_path")).alias("description"), "file_path", F.col("at").alias("line"), "start", "end", "code")
+    if without_node:  # asked twice, read once
+        found = Scratch(files.sparkSession, "nodes").put(found)
+    here = (own.file_path == found.path) & (own["at"] == found.line) & (own.symbol_name == found.name)
+    shown = lambda rows, *place: rows.select("symbol_id", F.col("symbol_name").alias("name"), "kind", _described("comment", "symbol_name", _lang("file_path")).alias("description"), "file_path", F.col("at").alias("line"), *place)
+    out = shown(own.join(found, here), "start", "end", "code")
+    if without_node:
+        none = [F.lit(None).cast(kind).alias(c) for c, kind in (("start", "int"), ("end", "int"), ("code", "string"))]
+        out = out.unionByName(shown(own.join(found, here, "left_anti"), *none))
     return out.where("description is not null")

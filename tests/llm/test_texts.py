@@ -305,6 +305,26 @@ def test_profiles_are_fitted_per_language(spark):
     assert prose.fit_profiles(docs.limit(0), COMMON) == {} and prose.fit_profiles(docs, {}) == {}
 
 
+def test_profiles_come_from_all_documents(spark):
+    german = "Das Protokoll vergleicht alle toten Verweise, und die Sitzung behält die letzte Fassung der Liste. " * 5
+    rows = [(k, german) for k in range(prose.FIT_CHARS // len(german) + 1)] + [(1_000 + k, "- item") for k in range(8_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    fitted = prose.fit_profiles(docs, COMMON)  # German is enough only if no document is left out
+    said = german.strip()
+    assert fitted["prose:de"][:2] == pytest.approx([sum(c.islower() for c in said) / len(said), sum(c.isupper() for c in said) / len(said)], abs=1e-3)
+    assert "prose:de" not in prose.fit_profiles(docs.where("doc_id > 0"), COMMON) and fitted["prose:de"] == prose.fit_profiles(docs.repartition(7), COMMON)["prose:de"]
+
+
+def test_verdicts_are_those_of_the_statistics(spark):
+    common = spark.createDataFrame([(k, w) for k, ws in COMMON.items() for w in ws], "lang string, word string")
+    texts = [EN * 3, "- one item\n" * 10, " \n", "", None, "target schema node it an and node by policy canonical from record manifest queue " * 5, "Perbx tursifut medxl rzsqjq wqnguzcabas vo xasde pxmat? " * 9]
+    docs = spark.createDataFrame([(f"d{k}", t) for k, t in enumerate(texts * 2)] + [(None, EN)], "doc_id string, text string")
+    same = ["doc_id", "nonblank", "prose_share", "by_divergence", "natural"]
+    got = prose.verdicts(docs, common)
+    assert got.columns == same and sorted(map(str, got.collect())) == sorted(map(str, prose.statistics(docs, common).select(same).collect())) and got.count() == 12
+    assert prose.verdicts(docs.limit(0), common).count() == 0
+
+
 def test_full_pieces_are_containers(spark):
     table = spark.createDataFrame([(1, "word " * 3_000), (2, "word " * 10), (3, None)], "doc_id long, text string")
     got = packing.pack(table, capacity=256, group=8).collect()

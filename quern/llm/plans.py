@@ -81,7 +81,7 @@ def p8_clean(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return prose.statistics(load(spark, folder, "documents"), load(spark, folder, "commonwords")).where("not natural").select("doc_id").distinct()
+    return prose.verdicts(load(spark, folder, "documents"), load(spark, folder, "commonwords")).where("not natural").select("doc_id").distinct()
 
 
 def p9_statistics(spark: SparkSession, folder: str) -> DataFrame:

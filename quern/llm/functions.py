@@ -12,6 +12,8 @@ import ast
 import bisect
 import re
 import warnings
+from functools import lru_cache
+from itertools import accumulate, compress
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,6 +48,15 @@ _LEAD = re.compile(r"^\s*(?:///?!?|//+|#(?!region|endregion)+|\*(?!/)|;;+|--(?=\
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯฀-๿]")
 _CODE_MARK = re.compile(r"[=({;\[]")
+_CODE_HINT = re.compile(r"[=;{]|\w\([^)]*\)\s*$")
+_NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z_]+|\d+")
+_RULE = re.compile(r"\s*[-=~]{3,}\s*")
+_TAG = re.compile(r"\{?@(\w[\w-]*)\}?(.*)")
+_INLINE_TAG, _INLINE_TAG_TEXT = re.compile(r"\{@\w+\}"), re.compile(r"\{@\w+\s+([^}]*)\}")
+_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>")
+_PART = re.compile(r"\n\s*\n|(?<=[.!?])\s+|\n(?=\W*(?:TODO|FIXME|XXX)\b)")
+_DECORATION = re.compile(r"[-=*~#_+]{3,}")
+_WORD_CHARACTER = re.compile(r"\w")
 _CODE_LINE = re.compile(r"^\s*(?:(?:const|let|var|return|if|for|while|switch|throw|raise|import|from|def|func|package|use|echo|await|yield|else|try|catch|break|continue|pass)\b.*[;:({)=]?|[\w.$>\[\]'\"-]+\s*(?::?=|\+=|-=|:=)\s*\S.*|[\w.$>-]+\([^)]*\)\s*;?|[{}\[\]();,]+|.*[;{}]|return\b.*)\s*$")
 
 
@@ -60,6 +71,7 @@ def lines_of(comment: str) -> list[str]:
     return [_LEAD.sub("", line).rstrip() for line in text.split("\n")]
 
 
+@lru_cache(maxsize=100_000)
 def _stem(word: str) -> str:
     word = word.lower()
     for end in ("ies", "es", "s", "ing", "ed", "e"):
@@ -68,8 +80,15 @@ def _stem(word: str) -> str:
     return word
 
 
-def name_words(name: str) -> list[str]:
-    return [w.lower() for w in re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\dA-Z_]+|\d+", name)]
+@lru_cache(maxsize=100_000)
+def name_words(name: str) -> tuple[str, ...]:
+    return tuple(w.lower() for w in _NAME_PART.findall(name))
+
+
+@lru_cache(maxsize=100_000)
+def _word_parts(word: str) -> tuple[tuple[str, str], ...]:
+    """The words in a word of more than one letter, each with its stem, or none if it tells nothing."""
+    return tuple((w, "" if w in STOP else _stem(w)) for w in name_words(word) or (word.lower(),) if len(w) > 1)
 
 
 def _disabled_code(lines: list[str], lang: str | None) -> bool:
@@ -82,7 +101,7 @@ def _disabled_code(lines: list[str], lang: str | None) -> bool:
         words = max(len(_WORD.findall(re.sub(r"[\"'`].*?[\"'`]|\w+\(|[\w.]+", lambda m: m[0] if re.fullmatch(r"[^\W\d_]+", m[0]) else " ", line))) for line in body)
         if words <= 6:
             return True
-    if lang is None or not re.search(r"[=;{]|\w\([^)]*\)\s*$", text):
+    if lang is None or not _CODE_HINT.search(text):
         return False
     code = {"go": "package p\nfunc f() {\n" + text + "\n}", "php": "<?php " + text}.get(lang, text)
     with warnings.catch_warnings():
@@ -104,14 +123,14 @@ def describe(comment: str | None, name: str | None, lang: str | None = None) ->
         if not s:
             kept.append("")
             continue
-        if SECTION.match(s) or RULED_SECTION.match(s) and k + 1 < len(lines) and re.fullmatch(r"\s*[-=~]{3,}\s*", lines[k + 1]):
+        if SECTION.match(s) or RULED_SECTION.match(s) and k + 1 < len(lines) and _RULE.fullmatch(lines[k + 1]):
             ended = True
         if FIELD.match(s):
             tag = True
             continue
         if DIRECTIVES.match(s):
             continue
-        m = re.match(r"\{?@(\w[\w-]*)\}?(.*)", s)
+        m = _TAG.match(s)
         if m and not s.startswith("{@link"):
             tag = m[1].lower() not in DESCRIBING_TAGS
             ended = ended and tag
@@ -121,13 +140,16 @@ def describe(comment: str | None, name: str | None, lang: str | None = None) ->
         if tag or ended or NOTICE.search(s):
             continue
         kept.append(s)
-    text = re.sub(r"\{@\w+\s+([^}]*)\}", r"\1", re.sub(r"\{@\w+\}", " ", "\n".join(kept)))
-    text = re.sub(r"</?[A-Za-z][^<>]*>", " ", text)
+    text = "\n".join(kept)
+    if "{@" in text:
+        text = _INLINE_TAG_TEXT.sub(r"\1", _INLINE_TAG.sub(" ", text))
+    if "<" in text:
+        text = _MARKUP.sub(" ", text)
     # decoration: lines without letters, and rules around a text
     said = []
-    for part in re.split(r"\n\s*\n|(?<=[.!?])\s+|\n(?=\W*(?:TODO|FIXME|XXX)\b)", text):
-        part = re.sub(r"[-=*~#_+]{3,}", " ", " ".join(part.split())).strip()
-        if not part or not re.search(r"\w", part) or PLACEHOLDER.match(part):
+    for part in _PART.split(text):
+        part = _DECORATION.sub(" ", " ".join(part.split())).strip()
+        if not part or not _WORD_CHARACTER.search(part) or PLACEHOLDER.match(part):
             continue
         if TASK_NOTE.match(part):
             continue  # says what is to be done, not what is done
@@ -135,21 +157,18 @@ def describe(comment: str | None, name: str | None, lang: str | None = None) ->
     text = " ".join(said).strip()
     if not text:
         return None
-    words = [w for x in _WORD.findall(text) for w in (name_words(x) or [x.lower()])]
-    own = {_stem(w) for w in name_words(name or "")}
-    telling = [w for w in words if len(w) > 1 and w not in STOP and _stem(w) not in own]
-    if _CJK.search(text):
+    if not text.isascii() and _CJK.search(text):
         return text if len(_CJK.findall(text)) >= 4 else None
-    return text if telling and len([w for w in words if len(w) > 1]) >= 2 else None
+    parts = [part for word in _WORD.findall(text) for part in _word_parts(word)]
+    own = {"", *map(_stem, name_words(name or ""))}
+    return text if len(parts) >= 2 and any(stem not in own for _, stem in parts) else None
 
 
 # ----------------------------------------------------------------------------------------------------- function nodes
 def _python_nodes(text: str):
     text = text.removeprefix("﻿")
-    starts = [0]
-    for line in text.split("\n"):
-        starts.append(starts[-1] + len(line) + 1)
     rows = text.split("\n")
+    starts = list(accumulate((len(row) + 1 for row in rows), initial=0))
 
     def offset(line: int, col: int) -> int:  # columns are counted in UTF-8
         row = rows[line - 1]
@@ -162,13 +181,22 @@ def _python_nodes(text: str):
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             yield from _python_blocks(rows, starts)
             return
-    for node in ast.walk(tree):
+    for node in _statements(tree):
         if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
             first = min([node.lineno, *(d.lineno for d in node.decorator_list)])
             start = starts[first - 1] + len(rows[first - 1]) - len(rows[first - 1].lstrip())
             yield node.name, node.lineno, start, offset(node.end_lineno, node.end_col_offset)
 
 
+def _statements(tree: ast.Module):
+    """The blocks of a tree, level by level: functions stand in them alone, never in expressions."""
+    todo: list[ast.AST] = [tree]
+    for node in todo:
+        yield node
+        for field in ("body", "cases", "handlers", "orelse", "finalbody"):
+            todo += getattr(node, field, ())
+
+
 _DEF = re.compile(r"([ \t]*)(?:async[ \t]+)?def[ \t]+([^\W\d]\w*)[ \t]*[(\[]")
 
 
@@ -196,7 +224,15 @@ def _python_blocks(rows: list[str], starts: list[int]):
         yield ended(at, name)
 
 
-_LEX = {"js": (lx.JS_TOKEN, lx._JS), "ts": (lx.JS_TOKEN, lx._JS), "go": (lx.GO_TOKEN, lx._GO), "php": (lx.PHP_TOKEN, lx._PHP)}
+
+
+def _first(table: lx.Kinds) -> lx.Kinds:
+    """Of each token's kind what its place in the text needs: one character, or none."""
+    return lx.Kinds(lambda token: "[" if (k := table[token]) == "#[" else k[:1])
+
+
+_LEX = {"js": (lx.JS_TOKEN, _first(lx._JS)), "go": (lx.GO_TOKEN, _first(lx._GO)), "php": (lx.PHP_TOKEN, _first(lx._PHP))}
+_LEX["ts"] = _LEX["js"]
 _J, _G, _P = lx.JS_WORDS, lx.GO_WORDS, lx.PHP_WORDS
 _NAME = "i" + "".join(_J[w] for w in lx.JS_CONTEXTUAL.split())
 _JS_FUNCTION = re.compile(f"{_J['function']}\\*?([{_NAME}])")
@@ -204,26 +240,25 @@ _JS_VALUE = re.compile(f"(?:[{_J['const']}{_J['let']}{_J['var']},]|(?<=[G;n{{}}]
 _JS_METHOD = re.compile(f"([{_NAME}{''.join(_J[w] for w in lx.JS_RESERVED.split() if w not in ('if', 'for', 'while', 'switch', 'catch', 'function', 'with', 'return', 'new', 'typeof', 'import'))}])(?=[(<])")
 _GO_FUNCTION = re.compile(f"{_G['func']}(?:\\([^()]*\\))?(i)(?=[(\\[])|(?<=[n;{{}}])(i)(?=d{_G['func']}\\()")
 _PHP_FUNCTION = re.compile(f"{_P['function']}&?([i{''.join(_P.values())}])(?=\\()")
+_BRACKET = re.compile(r"[(){}\[\]]")
 _CLOSERS = {")": "(", "]": "[", "}": "{"}
 
 
 def _brace_nodes(text: str, lang: str):
     pattern, table = _LEX[lang]
-    kinds, spans = [], []
-    for m in pattern.finditer(text):
-        k = table[m[0]]
-        if not k:
-            continue
-        k = "t" if k[0] == "t" else "[" if k == "#[" else k[0]
-        kinds.append(k)
-        spans.append(m.span())
+    tokens = [m[0] for m in pattern.finditer(text)] if pattern.groups else pattern.findall(text)  # together they are the text
+    kinds = list(map(table.__getitem__, tokens))
     s = "".join(kinds)
+    starts, sizes = list(compress(accumulate(map(len, tokens), initial=0), kinds)), list(compress(map(len, tokens), kinds))
     match: dict[int, int] = {}
     stack: list[int] = []
-    for m in re.finditer(r"[(){}\[\]]", s):
-        i, c = m.start(), s[m.start()]
+    for m in _BRACKET.finditer(s):
+        i = m.start()
+        c = s[i]
         if c in "([{":
             stack.append(i)
+        elif stack and s[stack[-1]] == _CLOSERS[c]:
+            match[stack.pop()] = i
         elif _CLOSERS[c] in (left := [s[j] for j in stack[-8:]]):
             # a bracket left open inside a closed one ends with it; a closing one without a partner closes nothing
             for _ in range(left[::-1].index(_CLOSERS[c]) + 1):
@@ -254,15 +289,15 @@ def _brace_nodes(text: str, lang: str):
             found.append((m.start(1), _body(s, match, m.end(1))))
     if not found:
         return
-    breaks = [m.start() for m in re.finditer("\n", text)]
+    begins = list(accumulate(map((1).__add__, map(len, text.split("\n")))))  # of all lines but the first
     for at, end in found:
-        if end is None or end >= len(spans):
+        if end is None or end >= len(starts):
             continue
-        a, b = spans[at]
-        line = bisect.bisect_left(breaks, a)
-        start = breaks[line - 1] + 1 if line else 0
+        a = starts[at]
+        line = bisect.bisect_right(begins, a)
+        start = begins[line - 1] if line else 0
         begin = start + len(text[start:a]) - len(text[start:a].lstrip(" \t"))
-        yield text[a:b], line + 1, begin, spans[end][1]
+        yield text[a : a + sizes[at]], line + 1, begin, starts[end] + sizes[end]
 
 
 def _class_bodies(s: str, match: dict[int, int]) -> set[int]:
@@ -396,6 +431,9 @@ def _described(comment: pd.Series, name: pd.Series, lang: pd.Series) -> pd.Serie
     return pd.Series([describe(none(c), none(n), none(k)) for c, n, k in zip(comment, name, lang, strict=True)], dtype="object")
 
 
+_described = _described.asNondeterministic()  # else a filter on it runs it once more
+
+
 def _lang(path: str):
     known = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
     return known[F.lower(F.regexp_extract(path, r"\.([A-Za-z]+)$", 1))]
@@ -412,13 +450,15 @@ def documented(symbols: DataFrame, files: DataFrame, with_code: bool = True, wit
     kind = F.lower(F.regexp_replace("kind", r"^\s+|\s+$", ""))
     own = symbols.where(F.col("id").isNotNull() & kind.isin("function", "method") & F.col("comment").isNotNull())
     own = own.groupBy(F.col("id").alias("symbol_id")).agg(F.min(F.struct(F.col("name").alias("symbol_name"), kind.alias("kind"), "comment", "file_path", F.col("line").alias("at"))).alias("s")).select("symbol_id", "s.*")
+    own = own.select("symbol_id", "symbol_name", "kind", _described("comment", "symbol_name", _lang("file_path")).alias("description"), "file_path", "at").where("description is not null")
     found = nodes(files, with_code)
-    if without_node:  # asked twice, read once
-        found = Scratch(files.sparkSession, "nodes").put(found)
+    if without_node:  # both are asked twice, read once
+        scratch = Scratch(files.sparkSession, "nodes")
+        found, own = scratch.put(found), scratch.put(own)
     here = (own.file_path == found.path) & (own["at"] == found.line) & (own.symbol_name == found.name)
-    shown = lambda rows, *place: rows.select("symbol_id", F.col("symbol_name").alias("name"), "kind", _described("comment", "symbol_name", _lang("file_path")).alias("description"), "file_path", F.col("at").alias("line"), *place)
+    shown = lambda rows, *place: rows.select("symbol_id", F.col("symbol_name").alias("name"), "kind", "description", "file_path", F.col("at").alias("line"), *place)
     out = shown(own.join(found, here), "start", "end", "code")
     if without_node:
         none = [F.lit(None).cast(kind).alias(c) for c, kind in (("start", "int"), ("end", "int"), ("code", "string"))]
         out = out.unionByName(shown(own.join(found, here, "left_anti"), *none))
-    return out.where("description is not null")
+    return out

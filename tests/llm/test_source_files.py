@@ -1,3 +1,4 @@
+import ast
 import random
 
 import pytest
@@ -98,6 +99,24 @@ def test_documented_pairs(spark):
     assert functions.documented(symbols, files.limit(0), without_node=True).count() == 3
 
 
+def test_comments_are_read_once(spark):
+    """The parts with and without a node, and the filter on descriptions, share one reading of the comments."""
+    files = spark.createDataFrame([("w:a.js", "function load(a) {\n  return a\n}\n")], "path string, content string")
+    symbols = spark.createDataFrame([("1", "load", "function", "w:a.js", 1, "// Reads the file."), ("2", "gone", "function", "w:b.js", 1, "// Writes the file.")], "id string, name string, kind string, file_path string, line int, comment string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(functions.documented(symbols, files)).count("ArrowEvalPython") == 1
+    both = functions.documented(symbols, files, with_code=False, without_node=True)
+    assert "ArrowEvalPython" not in plan(both)  # they are written
+    assert {r["symbol_id"]: r["description"] for r in both.collect()} == {"1": "Reads the file.", "2": "Writes the file."}
+
+
+def test_python_functions_stand_in_any_block():
+    blocks = ["if a:", "elif a:", "else:", "for x in y:", "else:", "while a:", "else:", "with a:", "try:", "except E:", "else:", "finally:", "class C:", "async def g():", "def h():"]
+    text = "".join(f"{b}\n    def f{k}(x=lambda: 0): pass\n" for k, b in enumerate(blocks)) + "try:\n    def t1(): pass\nexcept* E:\n    def t2(): pass\nmatch a:\n    case 1 if b:\n        def m1(): pass\n    case _:\n        def m2():\n            def m3(): pass\n"
+    want = [(n.name, n.lineno) for n in ast.walk(ast.parse(text)) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+    assert [found[:2] for found in functions.function_nodes(text, "py")] == want and len(want) == len(blocks) + 7
+
+
 def test_generated_files(spark, small):
     body = "import { a } from './a.js'\n\n// Sorts rows by {k}.\nexport function sort{k}(rows) {{\n  if (rows.length > {k}) return rows\n  return rows.filter((row) => row.{w} !== undefined)\n}}\n"
     words = ["alpha", "beta", "gamma", "delta", "omega", "kappa"]
